@@ -15,6 +15,20 @@ def _related(path: Column, rule: Column, match: str) -> Column:
     return path.startswith(rule) | rule.startswith(path)
 
 
+def _rule_side(rules: DataFrame) -> DataFrame:
+    """Rules under names of their own, closed off so that no log column resolves here."""
+    own = rules.select(*[F.col(c).alias(f"_r_{c}") for c in ("Role", "HTTP_Method", "rule_endpoint")])
+    return F.broadcast(own.alias("_rules"))
+
+
+def _covers(role: Column, method: Column, endpoint: Column, match: str) -> Column:
+    return (
+        (F.col("_r_Role") == role)
+        & (F.col("_r_HTTP_Method") == method)
+        & _related(clean_endpoint(endpoint), F.col("_r_rule_endpoint"), match)
+    )
+
+
 def with_authorization(df: DataFrame, rules: DataFrame, match: str = "prefix") -> DataFrame:
     """Add ``is_authorized``: 0 where a rule of the role covers the request.
 
@@ -23,29 +37,19 @@ def with_authorization(df: DataFrame, rules: DataFrame, match: str = "prefix") -
     rule table is a checked, small document, so it is broadcast and probed by
     (role, method) as an existence join; rows keep their place and number.
     """
-    r = F.broadcast(rules.select(*[F.col(c).alias(f"_r_{c}") for c in ("Role", "HTTP_Method", "rule_endpoint")]))
-    path = clean_endpoint(F.col("Endpoint")).outer()
-    covered = r.where(
-        (F.col("_r_Role") == F.col("Role").outer())
-        & (F.col("_r_HTTP_Method") == F.col("HTTP_Method").outer())
-        & _related(path, F.col("_r_rule_endpoint"), match)
-    )
+    role, method, endpoint = (F.col(c).outer() for c in ("Role", "HTTP_Method", "Endpoint"))
+    covered = _rule_side(rules).where(_covers(role, method, endpoint, match))
     return df.withColumn("is_authorized", F.when(covered.exists(), 0).otherwise(1))
 
 
 def unauthorised(df: DataFrame, rules: DataFrame, match: str = "prefix") -> DataFrame:
     """Only the requests a rule covers."""
-    r = F.broadcast(rules.select(*[F.col(c).alias(f"_r_{c}") for c in ("Role", "HTTP_Method", "rule_endpoint")]))
-    covered = (
-        (F.col("_r_Role") == F.col("Role"))
-        & (F.col("_r_HTTP_Method") == F.col("HTTP_Method"))
-        & _related(clean_endpoint(F.col("Endpoint")), F.col("_r_rule_endpoint"), match)
-    )
-    return df.join(r, covered, "left_semi")
+    covered = _covers(F.col("Role"), F.col("HTTP_Method"), F.col("Endpoint"), match)
+    return df.join(_rule_side(rules), covered, "left_semi")
 
 
 def scenario_combinations(df: DataFrame, signatures: DataFrame) -> DataFrame:
     """Requests whose resource and method are exactly those of some scenario."""
-    pairs = signatures.select(F.col("rule_endpoint").alias("_e"), F.col("HTTP_Method").alias("_m")).distinct()
+    pairs = signatures.select(F.col("rule_endpoint").alias("_e"), F.col("HTTP_Method").alias("_m")).coalesce(1).distinct()
     on = (resource_path(F.col("Endpoint")) == F.col("_e")) & (F.col("HTTP_Method") == F.col("_m"))
     return df.join(F.broadcast(pairs), on, "left_semi")

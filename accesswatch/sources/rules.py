@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,19 +135,29 @@ def load_rules(spark: SparkSession, path: str) -> dict:
     return validate_rules(json.loads(found[0].value))
 
 
+def _local(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """A table of the rule document as a local relation, whose size Spark knows."""
+    columns = list(zip(*rows)) if rows else [()] * len(types)
+    arrays = [pa.array(c, t) for c, t in zip(columns, types.values())]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=list(types)))
+
+
+_TEXT = pa.string()
+
+
 def role_scenarios(spark: SparkSession, rules: dict) -> DataFrame:
     rows = [(r, s, float(w)) for r, ws in rules["ANOMALY_SCENARIOS"].items() for s, w in ws.items()]
-    return spark.createDataFrame(rows, "Role string, scenario string, weight double")
+    return _local(spark, rows, Role=_TEXT, scenario=_TEXT, weight=pa.float64())
 
 
 def scenario_endpoints(spark: SparkSession, rules: dict) -> DataFrame:
     rows = [(s, e, m) for s, pairs in rules["ANOMALOUS_ENDPOINTS"].items() for e, m in pairs]
-    return spark.createDataFrame(rows, "scenario string, rule_endpoint string, HTTP_Method string")
+    return _local(spark, rows, scenario=_TEXT, rule_endpoint=_TEXT, HTTP_Method=_TEXT)
 
 
 def role_users(spark: SparkSession, rules: dict) -> DataFrame:
     rows = [(r, int(u)) for r, users in rules["ROLES"].items() for u in users]
-    return spark.createDataFrame(rows, "Role string, UserID bigint")
+    return _local(spark, rows, Role=_TEXT, UserID=pa.int64())
 
 
 def endpoint_parameters(spark: SparkSession, rules: dict) -> DataFrame:
@@ -154,17 +165,21 @@ def endpoint_parameters(spark: SparkSession, rules: dict) -> DataFrame:
         (e, *(p.get("id_range") or (None, None)), bool(p.get("export", False)), p.get("limit"))
         for e, p in rules["PARAMETERS"].items()
     ]
-    schema = "rule_endpoint string, id_min bigint, id_max bigint, export boolean, limit bigint"
-    return spark.createDataFrame(rows, schema)
+    n = pa.int64()
+    return _local(spark, rows, rule_endpoint=_TEXT, id_min=n, id_max=n, export=pa.bool_(), limit=n)
 
 
 def role_rules(spark: SparkSession, rules: dict) -> DataFrame:
     """Every endpoint and method a role may not use, with the scenario behind it."""
-    weights = role_scenarios(spark, rules).select("Role", "scenario")
-    return weights.join(F.broadcast(scenario_endpoints(spark, rules)), "scenario").select(
-        "Role", "scenario", clean_endpoint(F.col("rule_endpoint")).alias("rule_endpoint"), "HTTP_Method"
-    )
+    rows = [
+        (role, scenario, endpoint, method)
+        for role, weights in rules["ANOMALY_SCENARIOS"].items()
+        for scenario in weights
+        for endpoint, method in rules["ANOMALOUS_ENDPOINTS"].get(scenario, [])
+    ]
+    table = _local(spark, rows, Role=_TEXT, scenario=_TEXT, rule_endpoint=_TEXT, HTTP_Method=_TEXT)
+    return table.withColumn("rule_endpoint", clean_endpoint(F.col("rule_endpoint")))
 
 
 def authorization_rules(spark: SparkSession, rules: dict) -> DataFrame:
-    return role_rules(spark, rules).select("Role", "HTTP_Method", "rule_endpoint").distinct()
+    return role_rules(spark, rules).select("Role", "HTTP_Method", "rule_endpoint").coalesce(1).distinct()
