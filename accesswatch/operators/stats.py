@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesswatch.sources.schemas import numeric_names
 
 
-def _correlations(df: DataFrame, pairs: list[tuple[str, str]], mirrored: bool) -> DataFrame:
+def _pair_correlation(a: str, b: str, complete: bool) -> Column:
+    """Pearson correlation over rows that have both values; null if one is constant."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    if complete:
+        sx, sy = x, y
+    else:
+        sx, sy = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(sx) * F.stddev_pop(sy))
+
+
+def _correlations(df: DataFrame, pairs: list[tuple[str, str]], mirrored: bool, complete: bool) -> DataFrame:
     """Long form of the given pairs, all from one pass with combinable aggregates."""
-    row = df.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
-    )
+    row = df.agg(*[_pair_correlation(a, b, complete).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
 
-    def cell(a: str, b: str, i: int):
+    def cell(a: str, b: str, i: int) -> Column:
         return F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"c{i}").alias("correlation"))
 
     cells = [cell(a, b, i) for i, (a, b) in enumerate(pairs)]
@@ -26,16 +34,22 @@ def _correlations(df: DataFrame, pairs: list[tuple[str, str]], mirrored: bool) -
     return long.withColumn("correlation", F.when(~F.isnan("correlation"), F.col("correlation")))
 
 
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Strict upper triangle of the Pearson matrix; null where a column is constant."""
-    return _correlations(df, list(combinations(columns or numeric_names(df), 2)), mirrored=False)
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None, complete: bool = False) -> DataFrame:
+    """Strict upper triangle of the Pearson matrix; null where a column is constant.
+
+    ``complete`` promises columns without nulls, as after imputation, so that
+    one deviation per column serves all its pairs.
+    """
+    return _correlations(df, list(combinations(columns or numeric_names(df), 2)), False, complete)
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None, complete: bool = False) -> DataFrame:
     """Every pair in both directions, and the diagonal."""
     pairs = list(combinations_with_replacement(columns or numeric_names(df), 2))
-    return _correlations(df, pairs, mirrored=True)
+    return _correlations(df, pairs, True, complete)
 
 
-def high_correlations(df: DataFrame, threshold: float = 0.6, columns: list[str] | None = None) -> DataFrame:
-    return correlation_pairs(df, columns).where(F.abs("correlation") > F.lit(float(threshold)))
+def high_correlations(
+    df: DataFrame, threshold: float = 0.6, columns: list[str] | None = None, complete: bool = False
+) -> DataFrame:
+    return correlation_pairs(df, columns, complete).where(F.abs("correlation") > F.lit(float(threshold)))
