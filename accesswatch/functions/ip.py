@@ -67,15 +67,19 @@ _PRIVATE_HEX = (
 )
 
 
-def _quad(text: Column) -> Column:
-    parts = F.split(text, r"\.")
-    a, b, c, d = (F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4))
-    return a * 16777216 + b * 65536 + c * 256 + d
+def _octets(text: Column) -> list[Column]:
+    return [F.split_part(text, F.lit("."), F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)]
 
 
 def ipv4_to_long(ip: Column) -> Column:
     """Dotted quad as a number; null for anything else, also leading zeros."""
-    return F.when(ip.rlike(rf"\A{_V4}\z"), _quad(ip))
+    a, b, c, d = _octets(ip)
+    return F.when(ip.rlike(rf"\A{_V4}\z"), a * 16777216 + b * 65536 + c * 256 + d)
+
+
+# Eight hextets, or fewer around one gap.
+_SIDE = rf"(?:{_HEXTET}(?::{_HEXTET})*)?"
+_V6 = rf"\A(?:{_HEXTET}(?::{_HEXTET}){{7}}|(?!:*(?:[0-9a-f]+:+){{7}}[0-9a-f]){_SIDE}::{_SIDE})\z"
 
 
 def ipv6_to_hex(ip: Column) -> Column:
@@ -83,26 +87,15 @@ def ipv6_to_hex(ip: Column) -> Column:
     text = F.regexp_replace(F.lower(ip), r"%[^%/]+\z", "")
     # A dotted tail stands for the last two hextets.
     tail = F.regexp_extract(text, rf":({_V4})\z", 1)
-    tail_hex = F.lpad(F.lower(F.hex(_quad(tail))), 8, "0")
-    text = F.when(
-        tail != "",
-        F.concat(F.regexp_replace(text, rf"{_V4}\z", ""), F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4)),
-    ).otherwise(text)
-
-    def groups(side: Column) -> Column:
-        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
-
-    left = groups(F.substring_index(text, "::", 1))
-    right = groups(F.when(text.contains("::"), F.substring_index(text, "::", -1)).otherwise(F.lit("")))
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    padded = F.concat(F.lit(":"), F.array_join(full, ":"))
+    tail_hex = F.concat(*[F.lpad(F.lower(F.hex(o)), 2, "0") for o in _octets(tail)])
+    dotted = F.concat(F.regexp_replace(text, r"[^:]*\z", ""), F.regexp_replace(tail_hex, r"(.{4})\z", ":$1"))
+    text = F.when(text.rlike(rf":{_V4}\z"), dotted).otherwise(text)
+    # The gap becomes as many zero hextets as are missing from eight.
+    zeros = F.repeat(F.lit("0:"), F.lit(8) - F.regexp_count(text, F.lit("[0-9a-f]+")))
+    digits = F.replace(text, F.lit("::"), F.concat(F.lit(":"), zeros))
     for width in (1, 2, 3):
-        padded = F.regexp_replace(padded, rf":([0-9a-f]{{{width}}})(?=:|\z)", ":" + "0" * (4 - width) + "$1")
-    side = rf"(?:{_HEXTET}(?::{_HEXTET})*)?"
-    gapped = text.rlike(rf"\A{side}::{side}\z") & (missing >= 1)
-    plain = text.rlike(rf"\A{_HEXTET}(?::{_HEXTET}){{7}}\z")
-    return F.when(ip.contains(":") & (gapped | plain), F.replace(padded, F.lit(":"), F.lit("")))
+        digits = F.regexp_replace(digits, rf"\b([0-9a-f]{{{width}}})\b", "0" * (4 - width) + "$1")
+    return F.when(text.rlike(_V6), F.replace(digits, F.lit(":"), F.lit("")))
 
 
 def is_valid_ip(ip: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesswatch.functions.endpoint import request_parameters, resource_id, resource_path
@@ -73,10 +75,22 @@ def tag_scenarios(df: DataFrame, rules: dict, hours: tuple[int, int] = FEATURE_H
     return df.join(signatures, on).where(met).select(*df.columns, "scenario", "severity", "labelled")
 
 
+def _on_resources(df: DataFrame, resources) -> DataFrame:
+    """Rows whose endpoint begins with one of the resources: a test files can push down."""
+    begins = reduce(lambda a, b: a | b, [F.col("Endpoint").startswith(r) for r in sorted(set(resources))])
+    return df.where(begins)
+
+
+def _operations(df: DataFrame, resource: str, *methods: str) -> DataFrame:
+    """Requests of the given methods on exactly one resource."""
+    chosen = _on_resources(df.where(F.col("HTTP_Method").isin(*methods)), [resource])
+    return chosen.where(resource_path(F.col("Endpoint")) == resource)
+
+
 def with_payload(df: DataFrame, pattern: str = INJECTION) -> DataFrame:
     """Requests whose query payload looks like an attack."""
     payload = request_parameters(F.col("Endpoint"))[-1]
-    return df.withColumn("payload", payload).where(F.col("payload").rlike(pattern))
+    return df.where(F.col("Endpoint").contains("query=")).withColumn("payload", payload).where(F.col("payload").rlike(pattern))
 
 
 def _signature(df: DataFrame, rules: dict, scenario: str) -> DataFrame:
@@ -88,15 +102,13 @@ def _signature(df: DataFrame, rules: dict, scenario: str) -> DataFrame:
 
 def failed_attempt_bursts(df: DataFrame, gap_seconds: int = 10, min_attempts: int = 3) -> DataFrame:
     """Users deleting login attempts again and again, neighbours at most the gap apart."""
-    attempts = df.where((F.col("HTTP_Method") == "DELETE") & (resource_path(F.col("Endpoint")) == LOGIN))
+    attempts = _operations(df, LOGIN, "DELETE")
     return islands(attempts, ["UserID"], "Timestamp", gap_seconds, min_attempts)
 
 
 def rapid_inventory_changes(df: DataFrame, within_seconds: int = 20, same_ip: bool = True) -> DataFrame:
     """PUT, DELETE, PUT in a row on one item by one user (from one address)."""
-    changes = df.where(
-        F.col("HTTP_Method").isin("PUT", "DELETE") & (resource_path(F.col("Endpoint")) == INVENTORY)
-    ).withColumn("item_id", resource_id(F.col("Endpoint")))
+    changes = _operations(df, INVENTORY, "PUT", "DELETE").withColumn("item_id", resource_id(F.col("Endpoint")))
     keys = ["UserID", "item_id"] + (["IP_Address"] if same_ip else [])
     return operation_patterns(
         changes.where("item_id is not null"), keys, "Timestamp", "HTTP_Method", ("PUT", "DELETE", "PUT"), within_seconds
@@ -111,24 +123,21 @@ def injection_chains(
     One row per read with the number of injections in the window before it:
     a trailing count, so injections and reads are never paired up.
     """
-    pairs = {tuple(p) for p in validate_rules(rules)["ANOMALOUS_ENDPOINTS"]["sql_injection"]}
-    reads = {tuple(p) for p in validate_rules(rules)["ANOMALOUS_ENDPOINTS"]["data_exfiltration"]}
-
-    def one_of(combos) -> Column:
-        found = F.lit(False)
-        for e, m in sorted(combos):
-            found = found | ((F.col("_resource") == e) & (F.col("HTTP_Method") == m))
-        return found
-
-    parts = {c: v for c, v in zip(("_resource", "_id", "_payload"), [request_parameters(F.col("Endpoint"))[i] for i in (0, 1, 4)])}
-    logs = df.withColumns(parts)
-    injection = one_of(pairs) & F.col("_payload").rlike(INJECTION)
+    pairs = validate_rules(rules)["ANOMALOUS_ENDPOINTS"]
+    entries = [f"{m} {e}" for e, m in pairs["sql_injection"]]
+    reads = [f"{m} {e}" for e, m in pairs["data_exfiltration"]]
+    endpoint = F.col("Endpoint")
+    step = F.concat_ws(" ", "HTTP_Method", resource_path(endpoint))
+    with_query = endpoint.contains("query=")
+    injected = with_query & step.isin(*entries)
     if statuses is not None:
-        injection = injection & F.col("HTTP_Response").isin(*statuses)
-    read = one_of(reads) & (F.col("_payload").isNull())
+        injected = F.col("HTTP_Response").isin(*statuses) & injected
+    # Only rows that can take part are shuffled; the payload is judged on those.
+    logs = _on_resources(df, [e for e, _ in pairs["sql_injection"] + pairs["data_exfiltration"]]).withColumns(
+        {"_injection": injected & request_parameters(endpoint)[-1].rlike(INJECTION), "_read": ~with_query & step.isin(*reads)}
+    )
+    logs = logs.where("_injection or _read").withColumn("_id", resource_id(endpoint, None))
     keys = ["UserID", "_id"] + (["IP_Address"] if same_ip else [])
-    # Only rows that can take part are shuffled.
-    logs = logs.withColumns({"_injection": injection, "_read": read}).where("_injection or _read")
     counted = trailing_counts(
         logs, keys, "Timestamp",
         [TrailingCount("n_injections", within_seconds, F.col("_injection"), F.col("_read"))],
@@ -138,7 +147,7 @@ def injection_chains(
 
 def frequent_record_updates(df: DataFrame, minutes: int = 5, threshold: int = 3) -> DataFrame:
     """PUTs on patient records with at least ``threshold`` earlier ones in the window."""
-    puts = df.where((F.col("HTTP_Method") == "PUT") & (resource_path(F.col("Endpoint")) == RECORDS))
+    puts = _operations(df, RECORDS, "PUT")
     counted = trailing_counts(puts, ["UserID"], "Timestamp", [TrailingCount("n_earlier", minutes * 60)])
     return counted.where(F.col("n_earlier") >= threshold)
 
@@ -164,9 +173,10 @@ def item_operation_runs(df: DataFrame, rules: dict, endpoints: tuple[str, ...] =
     """
     limits = rules["ITEM_OPERATION_TRACKING"]
     resource, item = resource_path(F.col("Endpoint")), resource_id(F.col("Endpoint"), None)
-    changes = df.select(
+    written = _on_resources(df.where(F.col("HTTP_Method").isin("PUT", "DELETE")), endpoints)
+    changes = written.select(
         "Timestamp", "HTTP_Method", resource.alias("resource"), item.alias("resource_id")
-    ).where(F.col("HTTP_Method").isin("PUT", "DELETE") & F.col("resource").isin(*endpoints) & F.col("resource_id").isNotNull())
+    ).where(F.col("resource").isin(*endpoints) & F.col("resource_id").isNotNull())
     runs = sequence_runs(changes, ["resource", "resource_id"], "Timestamp", "HTTP_Method")
     limit = F.when(F.col("HTTP_Method") == "PUT", limits["max_puts_before_del"]).otherwise(limits["max_dels_before_put"])
     scenario = F.when(F.col("HTTP_Method") == "DELETE", "multiple_delete_same_item").when(

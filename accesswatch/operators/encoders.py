@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from accesswatch.operators.ordered import ordered_running
 # A code table up to this many classes is broadcast; a larger one is joined by
 # shuffle, and adaptive execution decides from the real sizes.
 BROADCAST_CLASSES = 100_000
+LOCAL_CLASSES = 10_000
 MAX_ONE_HOT = 1_000
 UNKNOWN = "unknown"
 
@@ -51,10 +53,19 @@ class LabelCodes:
 
 
 def fit_label_codes(df: DataFrame, column: str) -> LabelCodes:
-    """Distinct non-null values in text order; any number of classes."""
+    """Distinct non-null values in text order; any number of classes.
+
+    A short list is numbered here and kept as a local table; a longer one is
+    numbered where it lies.
+    """
     labels = df.select(F.col(column).cast("string").alias("label")).where("label is not null").distinct()
+    few = labels.limit(LOCAL_CLASSES + 1).toArrow().column("label").to_pylist()
+    if len(few) <= LOCAL_CLASSES:
+        # Code points sort like the UTF-8 bytes Spark compares.
+        arrays = [pa.array(sorted(few), pa.string()), pa.array(range(len(few)), pa.int32())]
+        return LabelCodes(df.sparkSession.createDataFrame(pa.Table.from_arrays(arrays, names=["label", "code"])), len(few))
     coded = ordered_running(labels.withColumn("_one", F.lit(1).cast("bigint")), "label", {"_rank": "_one"})
-    table = coded.select("label", (F.col("_rank") - 1).cast("int").alias("code"))
+    table = coded.select("label", (F.col("_rank") - 1).cast("int").alias("code")).checkpoint()
     return LabelCodes(table, table.count())
 
 

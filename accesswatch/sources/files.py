@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -21,6 +22,9 @@ from accesswatch.sources.schemas import (
 )
 
 
+MAX_DAYS_BY_NAME = 400
+
+
 def _csv_names(spark: SparkSession, path: str) -> list[str]:
     return spark.read.csv(path, header=True, inferSchema=False).columns
 
@@ -97,19 +101,31 @@ def split_unlabelled(df: DataFrame) -> DataFrame:
 
 
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
-    """Write one run below ``path/run_id=...``; a repeated run replaces itself."""
+    """Write one run below ``path/log_date=.../run_id=...``.
+
+    A repeated run replaces its own partitions, so a retried batch is stored
+    once. The date comes first, so that a time range can be read alone.
+    """
     (
-        df.withColumn("run_id", F.lit(run_id))
+        df.withColumns({"log_date": F.to_date("Timestamp"), "run_id": F.lit(run_id)})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
+        .partitionBy("log_date", "run_id")
         .parquet(path)
     )
 
 
-def append_run(df: DataFrame, path: str, run_id: str) -> None:
-    """Append a batch to the history, once per ``run_id``."""
-    write_run(df, path, run_id)
+def read_runs(spark: SparkSession, path: str, first: date, last: date) -> DataFrame:
+    """Stored runs of the given days; only their folders are listed.
+
+    At least one of the days must hold a run.
+    """
+    days = (last - first).days + 1
+    reader = spark.read.option("basePath", path)
+    if days > MAX_DAYS_BY_NAME:
+        return reader.parquet(path).where(F.col("log_date").between(F.lit(first), F.lit(last)))
+    names = ",".join(str(first + timedelta(days=i)) for i in range(days))
+    return reader.parquet(f"{path}/log_date={{{names}}}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -20,10 +20,7 @@ LOG_COLUMNS = (
 
 
 def _pick(index: Column, values) -> Column:
-    out = F.lit(None).cast("string")
-    for i, v in reversed(list(enumerate(values))):
-        out = F.when(index == i, v).otherwise(out)
-    return out
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
 def access_log(events: DataFrame) -> DataFrame:
@@ -34,7 +31,7 @@ def access_log(events: DataFrame) -> DataFrame:
     endpoint = F.concat(
         _pick(base, BASES),
         F.when(base == 9, "").otherwise(F.concat(F.lit("/"), (4000 + F.col("event_id") % 5).cast("string"))),
-        F.when(base < 4, F.concat(F.lit("?export=true&limit="), _pick(base, map(str, LIMITS)))).otherwise(""),
+        F.when(base < 4, F.concat(F.lit("?export=true&limit="), _pick(base, [str(n) for n in LIMITS]))).otherwise(""),
         F.when(payload, PAYLOAD).otherwise(""),
     )
     kind = F.col("event_type")

@@ -363,13 +363,16 @@ def e1(spark, sf):
 
 @register(
     "e1_label_codes_many_classes",
-    CLOG_SQL + """, codes AS (SELECT "Endpoint" AS label, dense_rank() OVER (ORDER BY "Endpoint") - 1 AS code
-  FROM (SELECT DISTINCT "Endpoint" FROM clog))
-SELECT "LogID", code::INTEGER AS endpoint_code FROM clog JOIN codes ON "Endpoint" = label""",
+    """WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_orderkey AS VARCHAR) AS label FROM lineitem),
+codes AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT label FROM t))
+SELECT l_orderkey, l_linenumber, code::INTEGER AS code FROM t JOIN codes USING (label)""",
 )
 def e1_many(spark, sf):
-    log = clog(spark, sf)
-    return encoders.fit_label_codes(log, "Endpoint").apply(log, "Endpoint", "endpoint_code").select("LogID", "endpoint_code")
+    items = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_orderkey").cast("string").alias("label")
+    )
+    codes = encoders.fit_label_codes(items, "label")
+    return codes.apply(items, "label", "code").drop("label")
 
 
 @register(
