@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from accesswatch.operators import metrics, model as M
+from accesswatch.operators.quality import impute_means
+from accesswatch.operators.rolling import add_request_rates
+from accesswatch.operators.stats import high_correlations
 from accesswatch.plans.diagnostics import diagnose
-from accesswatch.plans.features import build_features, fit_encoders
+from accesswatch.plans.features import build_features, fit_encoders, row_features
 from accesswatch.plans.training import Trained, load_trained, train_models
 from accesswatch.plans.scoring import score_log
 from accesswatch.session import checkpoint_dir
@@ -164,8 +167,46 @@ def m8(spark, sf):
     return M.permutation_importance(fitted.models["logistic"], fitted.test)
 
 
-@register("check_high_correlations_of_features")
+_PAIRS = [(a, b) for i, a in enumerate(MODEL_FEATURES) for b in MODEL_FEATURES[i + 1 :]]
+
+
+@register(
+    "a14_a15_feature_correlations",
+    FEATURES_SQL + ", c AS (" + "\nUNION ALL ".join(
+        f"""SELECT '{a}' AS feature_1, '{b}' AS feature_2, CASE WHEN stddev_pop("{a}") > 0 AND stddev_pop("{b}") > 0
+        THEN round(covar_pop("{a}", "{b}") / (stddev_pop("{a}") * stddev_pop("{b}")), 6) END AS correlation FROM feats"""
+        for a, b in _PAIRS
+    ) + ") SELECT * FROM c WHERE abs(correlation) > 0.3",
+)
+def feature_correlations(spark, sf):
+    table = features(spark, sf).select(*MODEL_FEATURES)
+    clean = impute_means(table)
+    return high_correlations(clean, 0.3, list(MODEL_FEATURES), complete=True).withColumn(
+        "correlation", F.round("correlation", 6)
+    )
+
+
+@register("a14_diagnostics_of_models")
 def diagnostics(spark, sf):
-    fitted, folder = trained(spark, sf)
+    _, folder = trained(spark, sf)
     table = spark.read.parquet(f"{folder}/training_features").drop("Timestamp", "Role", "Endpoint")
-    return diagnose(table, trees=20, max_depth=8).high_correlations
+    report = diagnose(table, trees=20, max_depth=8)
+    rows = [e.withColumn("model", F.lit(n)) for n, e in report.evaluations.items()]
+    return rows[0].unionByName(rows[1])
+
+
+@register(
+    "flagship_risk_by_role",
+    FEATURES_SQL + """SELECT "Role", count(*) AS n_logs, count(*) FILTER (is_authorized = 0) AS n_unauthorised,
+  count(*) FILTER (is_unusual_time = 1) AS n_unusual_time, count(*) FILTER (is_internal_ip = 0) AS n_external,
+  max(req_freq_5min) AS max_rate_5min FROM feats GROUP BY "Role" """,
+)
+def flagship(spark, sf):
+    rated = add_request_rates(dense_log(spark, sf))
+    return row_features(rated, default_rules()).groupBy("Role").agg(
+        F.count(F.lit(1)).alias("n_logs"),
+        F.count_if(F.col("is_authorized") == 0).alias("n_unauthorised"),
+        F.count_if(F.col("is_unusual_time") == 1).alias("n_unusual_time"),
+        F.count_if(F.col("is_internal_ip") == 0).alias("n_external"),
+        F.max("req_freq_5min").alias("max_rate_5min"),
+    )
