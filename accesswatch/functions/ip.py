@@ -57,10 +57,9 @@ def _choice(blocks: tuple[str, ...], pattern) -> str:
 
 
 _MAPPED = "0{20}ffff"
-_PRIVATE_TEXT = (
-    rf"\A(?!{_choice(PRIVATE_V4_EXCEPT, _v4_text_pattern)}\z){_choice(PRIVATE_V4, _v4_text_pattern)}\z"
-)
-_SHARED_TEXT = rf"\A{_choice(SHARED_V4, _v4_text_pattern)}\z"
+_PRIVATE = f"(?!{_choice(PRIVATE_V4_EXCEPT, _v4_text_pattern)}\\z){_choice(PRIVATE_V4, _v4_text_pattern)}\\z"
+_PRIVATE_TEXT = rf"\A{_PRIVATE}"
+_PUBLIC_TEXT = rf"\A(?!{_PRIVATE}|{_choice(SHARED_V4, _v4_text_pattern)}\z){_V4}\z"
 _PRIVATE_HEX = (
     rf"\A(?:{_MAPPED}(?!{_choice(PRIVATE_V4_EXCEPT, _hex_pattern)}){_choice(PRIVATE_V4, _hex_pattern)}"
     rf"|(?!{_MAPPED})(?!{_choice(PRIVATE_V6_EXCEPT, _hex_pattern)}){_choice(PRIVATE_V6, _hex_pattern)})"
@@ -105,15 +104,13 @@ def is_valid_ip(ip: Column) -> Column:
 
 def is_internal_ip(ip: Column) -> Column:
     """True for special-purpose addresses; false for public and invalid ones."""
-    internal = F.when(ip.contains(":"), ipv6_to_hex(ip).rlike(_PRIVATE_HEX)).otherwise(ip.rlike(_PRIVATE_TEXT))
+    internal = ip.rlike(_PRIVATE_TEXT) | (ip.contains(":") & ipv6_to_hex(ip).rlike(_PRIVATE_HEX))
     return F.coalesce(internal, F.lit(False))
 
 
 def is_global_ip(ip: Column) -> Column:
     """True for public addresses; IPv4 shared carrier space is neither class."""
-    public = F.when(
-        ip.contains(":"), ~ipv6_to_hex(ip).rlike(_PRIVATE_HEX)
-    ).otherwise(ip.rlike(rf"\A{_V4}\z") & ~ip.rlike(f"{_PRIVATE_TEXT}|{_SHARED_TEXT}"))
+    public = ip.rlike(_PUBLIC_TEXT) | (ip.contains(":") & ~ipv6_to_hex(ip).rlike(_PRIVATE_HEX))
     return F.coalesce(public, F.lit(False))
 
 
