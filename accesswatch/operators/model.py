@@ -25,7 +25,6 @@ TREES = 200
 DIAGNOSTIC_TREES = 100
 SEED = 42
 MAX_CLASSES = 1_000
-_DIGITS = 4
 
 
 # --- splitting -----------------------------------------------------------------------
@@ -61,11 +60,13 @@ def split_cuts(df: DataFrame, label: str = LABEL, test_size: float = 0.2, event_
     left = _test_sizes(totals, test_size)
     prefix = {c: "" for c, k in left.items() if k > 0}
     cuts = {c: "" for c, k in left.items() if k == 0}
+    # Blocks per pass that reach the driver: 65 536 for each of a few classes, 256 for each of many.
+    digits = 4 if len(prefix) <= 16 else 2
     while prefix:
         inside = F.lit(False)
         for c, p in prefix.items():
             inside = inside | ((F.col("c") == F.lit(c)) & F.col("h").startswith(p))
-        depth = len(next(iter(prefix.values()))) + _DIGITS
+        depth = len(next(iter(prefix.values()))) + digits
         blocks = hashed.where(inside).groupBy("c", F.substring("h", 1, depth).alias("b")).agg(F.count(F.lit(1)).alias("n"))
         found: dict = {}
         for row in blocks.collect():

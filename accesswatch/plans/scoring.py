@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accesswatch.operators.model import predict
@@ -21,16 +21,21 @@ def score_log(
     return apply_override(predict(model, build_features(log, rules, encoders, unseen_role=unseen_role)))
 
 
-def batch_with_history(archive_path: str, batch: DataFrame, run_id: str, history_seconds: int) -> DataFrame | None:
+def batch_with_history(
+    spark: SparkSession, archive_path: str, batch: DataFrame, run_id: str, history_seconds: int
+) -> DataFrame | None:
     """Rows of an archived batch and of the window before it, marked by ``_own``.
 
-    Only the days the batch touches are read. None for an empty batch.
+    Only the days the batch touches are read. None for an empty batch. ``spark``
+    plans what follows: inside a stream give the outer session, since the
+    stream's own has adaptive execution switched off.
     """
     first, last = batch.agg(F.min("Timestamp"), F.max("Timestamp")).first()
     if first is None:
         return None
     since = first - timedelta(seconds=history_seconds)
-    archive = read_runs(batch.sparkSession, archive_path, since.date() - timedelta(days=1), last.date() + timedelta(days=1))
+    days = timedelta(days=1)
+    archive = read_runs(spark, archive_path, since.date() - days, last.date() + days)
     near = archive.where((F.col("Timestamp") >= F.lit(since)) & (F.col("Timestamp") <= F.lit(last)))
     marked = near.withColumn("_own", F.col("run_id") == run_id)
     return marked.drop("run_id", "log_date")
@@ -39,6 +44,7 @@ def batch_with_history(archive_path: str, batch: DataFrame, run_id: str, history
 def score_batch(
     log: DataFrame, rules: dict, encoders: FeatureEncoders, model: PipelineModel, archive_path: str,
     results_path: str, run_id: str, history_seconds: int = 600, unseen_role: str = "error",
+    session: SparkSession | None = None,
 ) -> None:
     """Archive a batch and write its results, both once per ``run_id``.
 
@@ -46,7 +52,7 @@ def score_batch(
     before it, as if the log had never been cut into batches.
     """
     write_run(split_unlabelled(valid_rows(log)), archive_path, run_id)
-    near = batch_with_history(archive_path, valid_rows(log), run_id, history_seconds)
+    near = batch_with_history(session or log.sparkSession, archive_path, valid_rows(log), run_id, history_seconds)
     if near is None:
         return
     features = build_features(near, rules, encoders, unseen_role=unseen_role).where("_own").drop("_own")

@@ -37,7 +37,7 @@ def _with_history(logs: DataFrame, compute, seconds: int, archive: str, output:
         run = run_id(name, number)
         rows = valid_rows(batch)
         write_run(split_unlabelled(rows), archive, run)
-        near = batch_with_history(archive, rows, run, seconds)
+        near = batch_with_history(logs.sparkSession, archive, rows, run, seconds)
         if near is not None:
             write_run(compute(near).where("_own").drop("_own"), output, run)
 
@@ -68,7 +68,10 @@ def score_stream(
     """Archive, score and correct every micro-batch."""
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        score_batch(batch, rules, encoders, model, archive, results, run_id(name, number), unseen_role=unseen_role)
+        score_batch(
+            batch, rules, encoders, model, archive, results, run_id(name, number), unseen_role=unseen_role,
+            session=logs.sparkSession,
+        )
 
     return _start(logs, on_batch, checkpoint, trigger)
 
