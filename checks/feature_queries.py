@@ -426,14 +426,15 @@ def e4(spark, sf):
     "e5_standard_scaling",
     """WITH s AS (SELECT avg(l_quantity) mq, stddev_pop(l_quantity) sq, avg(l_extendedprice) mp, stddev_pop(l_extendedprice) sp,
   avg(l_discount) md, stddev_pop(l_discount) sd FROM lineitem)
-SELECT l_orderkey, l_linenumber, round((l_quantity - mq) / sq, 6) AS l_quantity,
-  round((l_extendedprice - mp) / sp, 6) AS l_extendedprice, round((l_discount - md) / sd, 6) AS l_discount FROM lineitem, s""",
+SELECT l_orderkey, l_linenumber, round((l_quantity - mq) / sq, 6) + 0.0 AS l_quantity,
+  round((l_extendedprice - mp) / sp, 6) + 0.0 AS l_extendedprice, round((l_discount - md) / sd, 6) + 0.0 AS l_discount FROM lineitem, s""",
 )
 def e5(spark, sf):
     names = ["l_quantity", "l_extendedprice", "l_discount"]
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *names)
     scaled = encoders.fit_scaler(items, names).apply(items)
-    return scaled.withColumns({n: F.round(n, 6) for n in names})
+    # Adding 0.0 turns a negative zero into a plain one.
+    return scaled.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
 
 
 # --- quality -------------------------------------------------------------------------
