@@ -24,8 +24,16 @@ def run_id(stream_name: str, batch_no: int) -> str:
 
 
 def _start(logs: DataFrame, on_batch, checkpoint: str, trigger: dict | None):
+    def read_once(batch: DataFrame, number: int) -> None:
+        # A batch is archived and measured; keeping it spares a second read of the source.
+        batch.persist()
+        try:
+            on_batch(batch, number)
+        finally:
+            batch.unpersist()
+
     return (
-        logs.writeStream.foreachBatch(on_batch)
+        logs.writeStream.foreachBatch(read_once)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
