@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesswatch.llm.common import table
+from accesswatch.llm.common import cut, table, text_digest, text_or_empty
+from accesswatch.llm.decontaminate import find_contamination
+from accesswatch.llm.html_text import extract, fit_weights
+from accesswatch.llm.language import fit_language, identify
+from accesswatch.llm.line_dedup import deduplicated
 from accesswatch.llm.line_frequency import judge_documents
+from accesswatch.llm.near_dups import near_duplicates
+from accesswatch.llm.packing import pack
+from accesswatch.llm.quality_classifier import fit_quality, quality_score
 from accesswatch.llm.registry import QUERIES, SQL, register  # noqa: F401
-from accesswatch.llm.sql import HOST_PATH_SQL, LINE_FREQUENCY_SQL
+from accesswatch.llm.sql import DECONTAMINATION_SQL, LINE_DEDUP_SQL, LINE_FREQUENCY_SQL, NEAR_DUPS_SQL, URL_FILTER_SQL
+from accesswatch.llm.token_rollups import Rollup, deleted, inserted, revised
+from accesswatch.llm.tokens import token_count
 from accesswatch.llm.url_filter import filter_urls
+from accesswatch.session import checkpoint_dir
 
 #: The url rules as (host, path, verdict).
 URL_RULES = (
@@ -17,13 +30,106 @@ URL_RULES = (
 )
 
 
+def fold(parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@register("op1_compression_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = fit_quality(docs, labels.where(fold(4) != 2))
+    score = docs.select("doc_id", (fold(4) == 2).alias("held_out"), quality_score(F.col("text"), model, spark).alias("score"))
+    return score.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@register("op2_decontamination", DECONTAMINATION_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@register("op3_line_dedup", LINE_DEDUP_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "lines.*", F.sha2(text_or_empty(), 256).alias("kept_sha256"))
+
+
+@register("op4_token_rollups")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents; copies of a text, but for its smallest document, deleted; texts with
+    repeated lines counted anew without them; and the deletes sent once more, which must change nothing."""
+    text = text_or_empty()
+    once = F.array_join(F.array_distinct(F.split(text, "\n")), "\n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", text.alias("text"), once.alias("once"))
+    vocabularies = {
+        "byte_bpe_50k": public_tokenizers.path("byte_bpe_50k.json"),
+        "byte_bpe_multi_50k": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+    }
+    changed = F.when(F.col("once") != F.col("text"), F.col("once"))
+    counts = [
+        F.struct(
+            F.lit(version).alias("version"), token_count(F.col("text"), path, public_tokenizers.PATTERN).alias("tokens"),
+            token_count(changed, path, public_tokenizers.PATTERN).alias("new_tokens"),
+        )
+        for version, path in vocabularies.items()
+    ]
+    counted = cut(
+        docs.select(
+            "doc_id", "source", "lang", text_digest().alias("digest"), F.length("text").cast("long").alias("chars"),
+            F.length(changed).cast("long").alias("new_chars"), F.array(*counts).alias("counts"),
+        )
+    )
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    marked = counted.join(first, "digest").select(
+        "source", "lang", "chars", "new_chars", (F.col("doc_id") != F.col("first")).alias("copy"), F.explode("counts").alias("c")
+    ).select("source", "lang", "chars", "new_chars", "copy", "c.*")
+    old = marked.select("source", "lang", "version", "tokens", "chars")
+    stale = marked.where(~F.col("copy") & F.col("new_tokens").isNotNull())
+    again = stale.select("source", "lang", "version", F.col("new_tokens").alias("tokens"), F.col("new_chars").alias("chars"))
+    copies = deleted(marked.where("copy"))
+    rollup = Rollup(spark, f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", inserted(old))
+    rollup.commit("copies", copies)
+    rollup.commit("repeated_lines", revised(stale.select(*old.columns), again))
+    rollup.commit("copies", copies)
+    return rollup.totals()
+
+
+@register("op5_harmonic_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @register("op6_line_frequency", LINE_FREQUENCY_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"), ["doc_id"]).drop("n_left_words")
 
 
-@register("op9_url_filter", HOST_PATH_SQL)
+@register("op7_unigram_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language(docs.where(fold(3) != 1), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return identify(docs, model, ["doc_id"]).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@register("op8_main_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, fit_weights(pages), ["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register("op9_url_filter", URL_FILTER_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "judged.*")
+
+
+@register("op10_near_duplicates", NEAR_DUPS_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))

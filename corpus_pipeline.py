@@ -1,19 +1,75 @@
-"""From documents to packed training sequences: five stages, each over all that its predecessor kept."""
+"""From documents to packed training sequences: five stages, each over all that its predecessor kept.
+
+A stage takes and returns the columns of ``documents``, the last returns pieces of sequences. Each carries
+whole rows in a struct, so further columns of any name pass through.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from accesswatch.llm.common import text_or_empty
+from accesswatch.llm.decontaminate import find_contamination
+from accesswatch.llm.line_dedup import deduplicated
 from accesswatch.llm.line_frequency import judge_documents
+from accesswatch.llm.near_dups import near_duplicates
+from accesswatch.llm.packing import pack
+
+
+def _carried(docs: DataFrame, *names: str) -> DataFrame:
+    return docs.select(F.struct(*docs.columns).alias("_row"), *names)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules do not reject."""
-    return judge_documents(docs, docs.columns).where("kept").select(docs.columns)
+    """Documents that the quality rules do not reject."""
+    return judge_documents(_carried(docs, "text", "source"), ["_row"]).where("kept").select("_row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that other documents repeat; ``n_chars`` follows the text."""
+    rest = [c for c in docs.columns if c != "text"]
+    kept = deduplicated(docs.select(F.struct(*rest).alias("_row"), "doc_id", "text")).select("_row", "text")
+    length = F.length("text").cast("long").alias("n_chars")
+    return kept.select(
+        *[F.col("text") if c == "text" else length if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    )
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; of rows that share a document id, one. Null ids all stay."""
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(text_or_empty()))
+    one = (
+        _carried(docs, "doc_id", "text").join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order))
+        .where("_nth = 1").select("_row.*")
+    )
+    return one.unionByName(docs.where("doc_id IS NULL"))
+
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no more than traces of benchmark items."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = find_contamination(_carried(docs, "doc_id", "text"), benchmark, ["_row"])
+    return found.where("NOT contaminated").select("_row.*")
 
-STAGES = [("quality_rules", quality_rules)]
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens, with their ids and the ids' checksum."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Token ids and near-duplicates by signature have no SQL form; tests/llm compares with brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +77,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
-
-
-ORACLE_SQL = None
