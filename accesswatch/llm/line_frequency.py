@@ -5,6 +5,8 @@ Everything here is made of DataFrame functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,43 +22,58 @@ def words_of(c: Column) -> Column:
     return F.array_remove(F.split(c, _BLANK), "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it and wherever filters move it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(words: Column, of: Callable[[list[Column], Column], Column]) -> Column:
+    """An array of ``of(five words, place)`` for each window."""
+    last = F.size(words) - WINDOW
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: of([F.get(words, i + k) for k in range(WINDOW)], i))
+
+
+def _covered(places: Column) -> Column:
+    """Words in windows that begin at these sorted places."""
+    steps = F.transform(places, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(places, k + 1) - p, F.lit(WINDOW))))
+    return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
+
+
+def _repeated(words: Column) -> Column:
+    """Words in windows found twice or more. Windows are compared by hash; only where two hashes agree are the
+    windows themselves sorted with their places, so the figure is exact and costs n log n for any text."""
+
+    def exact(z: Column) -> Column:
+        twice = F.filter(z, lambda x, k: (x["g"] == F.get(z, k - 1)["g"]) | (x["g"] == F.get(z, k + 1)["g"]))
+        return _let(F.sort_array(F.transform(twice, lambda x: x["i"])), _covered)
+
+    sorted_windows = F.sort_array(
+        _windows(words, lambda five, i: F.struct(F.concat_ws(" ", *five).alias("g"), i.alias("i")))
+    )
+    differ = _let(_windows(words, lambda five, i: F.xxhash64(*five)), lambda h: F.size(h) == F.size(F.array_distinct(h)))
+    return F.when(differ, F.lit(0)).otherwise(_let(sorted_windows, exact))
+
+
 def text_statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
     """``keep`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of ``text``.
 
-    Five-word windows are compared by hash first. Only a text in which two hashes agree sorts the windows
-    themselves, with their places, so the figure is exact and costs n log n for any text.
+    They come out of a generator, below which filters on them are not moved, so each is computed once.
     """
     text = text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORD))
-    df = docs.select(*keep, text.alias("_t"), words_of(text).alias("_w"), lines.alias("_l"))
-    n = F.size("_w")
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(
-        "_h", F.transform(starts, lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(WINDOW)]))
-    )
-    df = df.select(
-        *[c for c in df.columns if c not in ("_t", "_l", "_h")],
-        n.alias("n_words"),
-        F.length(F.array_join("_w", "")).alias("word_chars"),
-        F.length(F.regexp_replace("_t", f"[^{SYMBOLS}]+", "")).alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
-        (F.size("_h") > F.size(F.array_distinct("_h"))).alias("_again"),
-    )
-    placed = F.transform(
-        F.sequence(F.lit(0), F.col("n_words") - WINDOW),
-        lambda i: F.struct(F.concat_ws(" ", *[F.get("_w", i + k) for k in range(WINDOW)]).alias("g"), i.alias("i")),
-    )
-    none = F.array().cast("array<struct<g:string,i:int>>")
-    df = df.withColumn("_z", F.when(F.col("_again"), F.sort_array(placed)).otherwise(none)).drop("_w", "_again")
-    twice = F.filter(
-        F.col("_z"), lambda x, k: (x["g"] == F.get("_z", k - 1)["g"]) | (x["g"] == F.get("_z", k + 1)["g"])
-    )
-    df = df.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("_z")
-    steps = F.transform(
-        F.col("_p"), lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", k + 1) - p, F.lit(WINDOW)))
+    both = F.struct(words_of(text).alias("w"), lines.alias("l"))
+    figures = _let(
+        both,
+        lambda b: F.struct(
+            F.size(b["w"]).alias("n_words"),
+            F.length(F.array_join(b["w"], "")).alias("word_chars"),
+            F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).alias("n_symbols"),
+            (F.size(b["l"]) - F.size(F.array_distinct(b["l"]))).alias("n_dup_lines"),
+            _repeated(b["w"]).alias("n_repeat_words"),
+        ),
     )
-    repeated = F.aggregate(steps, F.lit(0), lambda a, x: a + x)
-    return df.withColumn("n_repeat_words", repeated).drop("_p")
+    return docs.select(*keep, F.inline(F.array(figures)))
 
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:

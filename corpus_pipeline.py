@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accesswatch.llm.common import text_or_empty
+from accesswatch.llm.common import cut, text_or_empty
 from accesswatch.llm.decontaminate import find_contamination
 from accesswatch.llm.line_dedup import deduplicated
 from accesswatch.llm.line_frequency import judge_documents
@@ -73,7 +73,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, with a checkpoint after each but the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
