@@ -11,8 +11,11 @@ REPORT_HOURS = (22, 6)
 
 
 def parse_timestamp(text: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` with optional fraction; null for anything else."""
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]"))
+    """A date with an optional time, fraction and zone, after a blank or ``T``; null for anything else.
+
+    Fractions beyond microseconds are cut. A time without a date, which Spark would take for today, is null.
+    """
+    return F.when(text.rlike(r"^\s*\d{4}-\d"), F.try_to_timestamp(text))
 
 
 def hour_of(ts: Column) -> Column:
@@ -29,10 +32,11 @@ def day_of_week(ts: Column) -> Column:
 
 
 def in_unusual_hours(ts: Column, hours: tuple[int, int] = FEATURE_HOURS) -> Column:
-    """True from ``start`` on and before ``end``; false without a time."""
+    """True from ``start`` on and before ``end``, over midnight if ``end`` is not later; false without a time."""
     start, end = hours
     hour = F.hour(ts)
-    return F.coalesce((hour >= start) | (hour < end), F.lit(False))
+    inside = (hour >= start) & (hour < end) if start < end else (hour >= start) | (hour < end)
+    return F.coalesce(inside, F.lit(False))
 
 
 def is_unusual_time(ts: Column, hours: tuple[int, int] = FEATURE_HOURS) -> Column:

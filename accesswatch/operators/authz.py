@@ -18,7 +18,7 @@ def _related(path: Column, rule: Column, match: str) -> Column:
 def _rule_side(rules: DataFrame) -> DataFrame:
     """Rules under names of their own, closed off so that no log column resolves here."""
     own = rules.select(*[F.col(c).alias(f"_r_{c}") for c in ("Role", "HTTP_Method", "rule_endpoint")])
-    return F.broadcast(own.alias("_rules"))
+    return own.alias("_rules")
 
 
 def _covers(role: Column, method: Column, endpoint: Column, match: str) -> Column:
@@ -34,8 +34,8 @@ def with_authorization(df: DataFrame, rules: DataFrame, match: str = "prefix") -
 
     A rule covers a request of its role and method when one path begins with
     the other: as text (``prefix``), or by whole segments (``segment``). The
-    rule table is a checked, small document, so it is broadcast and probed by
-    (role, method) as an existence join; rows keep their place and number.
+    rule table is probed by (role, method) as an existence join, broadcast if Spark
+    finds it small enough; rows keep their place and number.
     """
     role, method, endpoint = (F.col(c).outer() for c in ("Role", "HTTP_Method", "Endpoint"))
     covered = _rule_side(rules).where(_covers(role, method, endpoint, match))
@@ -52,4 +52,4 @@ def scenario_combinations(df: DataFrame, signatures: DataFrame) -> DataFrame:
     """Requests whose resource and method are exactly those of some scenario."""
     pairs = signatures.select(F.col("rule_endpoint").alias("_e"), F.col("HTTP_Method").alias("_m")).coalesce(1).distinct()
     on = (resource_path(F.col("Endpoint")) == F.col("_e")) & (F.col("HTTP_Method") == F.col("_m"))
-    return df.join(F.broadcast(pairs), on, "left_semi")
+    return df.join(pairs, on, "left_semi")

@@ -58,10 +58,10 @@ def scenario_signatures(spark, rules: dict) -> DataFrame:
 def tag_scenarios(df: DataFrame, rules: dict, hours: tuple[int, int] = FEATURE_HOURS) -> DataFrame:
     """One row per log and signature scenario it is a candidate for.
 
-    The signature table is part of the rule document (checked size), broadcast
-    and probed by (resource, method).
+    The signature table is part of the rule document, a local relation whose size
+    Spark knows, and is probed by (resource, method).
     """
-    signatures = F.broadcast(scenario_signatures(df.sparkSession, rules))
+    signatures = scenario_signatures(df.sparkSession, rules)
     on = (
         (resource_path(F.col("Endpoint")) == F.col("_endpoint"))
         & (F.col("HTTP_Method") == F.col("_method"))
@@ -99,7 +99,7 @@ def _signature(df: DataFrame, rules: dict, scenario: str) -> DataFrame:
     pairs = scenario_endpoints(df.sparkSession, validate_rules(rules)).where(F.col("scenario") == scenario)
     pairs = pairs.select(F.col("rule_endpoint").alias("_e"), F.col("HTTP_Method").alias("_m")).coalesce(1).distinct()
     on = (resource_path(F.col("Endpoint")) == F.col("_e")) & (F.col("HTTP_Method") == F.col("_m"))
-    return df.join(F.broadcast(pairs), on, "left_semi")
+    return df.join(pairs, on, "left_semi")
 
 
 def failed_attempt_bursts(df: DataFrame, gap_seconds: int = 10, min_attempts: int = 3) -> DataFrame:

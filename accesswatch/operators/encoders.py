@@ -4,24 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accesswatch.operators.ordered import ordered_running
 
-# A code table up to this many classes is broadcast; a larger one is joined by
-# shuffle, and adaptive execution decides from the real sizes.
-BROADCAST_CLASSES = 100_000
-LOCAL_CLASSES = 10_000
-MAX_ONE_HOT = 1_000
 UNKNOWN = "unknown"
 
 
-def _sized(table: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(table) if n <= BROADCAST_CLASSES else table
-
-
 @dataclass(frozen=True)
 class LabelCodes:
     """Classes of a column in text order, coded 0..n-1."""
@@ -37,7 +27,7 @@ class LabelCodes:
         ``unseen="error"`` fails the query on such a value.
         """
         codes = self.table.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
-        joined = df.join(_sized(codes, self.n_classes), df[column] == F.col("_label"), "left")
+        joined = df.join(codes, df[column] == F.col("_label"), "left")
         if unseen == "error":
             bad = F.concat(F.lit(f"value without a code in {column}: "), F.coalesce(F.col(column), F.lit("null")))
             code = F.when(F.col("_code").isNull(), F.raise_error(bad).cast("int")).otherwise(F.col("_code"))
@@ -53,17 +43,11 @@ class LabelCodes:
 
 
 def fit_label_codes(df: DataFrame, column: str) -> LabelCodes:
-    """Distinct non-null values in text order; any number of classes.
+    """Distinct non-null values in text order, any number of them, numbered where they lie.
 
-    A short list is numbered here and kept as a local table; a longer one is
-    numbered where it lies.
+    The code table is joined by shuffle or broadcast as adaptive execution finds its size.
     """
     labels = df.select(F.col(column).cast("string").alias("label")).where("label is not null").distinct()
-    few = labels.limit(LOCAL_CLASSES + 1).toArrow().column("label").to_pylist()
-    if len(few) <= LOCAL_CLASSES:
-        # Code points sort like the UTF-8 bytes Spark compares.
-        arrays = [pa.array(sorted(few), pa.string()), pa.array(range(len(few)), pa.int32())]
-        return LabelCodes(df.sparkSession.createDataFrame(pa.Table.from_arrays(arrays, names=["label", "code"])), len(few))
     coded = ordered_running(labels.withColumn("_one", F.lit(1).cast("bigint")), "label", {"_rank": "_one"})
     table = coded.select("label", (F.col("_rank") - 1).cast("int").alias("code")).checkpoint()
     return LabelCodes(table, table.count())
@@ -74,11 +58,11 @@ def load_label_codes(spark: SparkSession, path: str) -> LabelCodes:
     return LabelCodes(table, table.count())
 
 
-def one_hot_categories(df: DataFrame, column: str) -> list[str]:
-    """Training categories in text order; each becomes a column, so they are few."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_ONE_HOT + 1).collect()
-    if len(rows) > MAX_ONE_HOT:
-        raise ValueError(f"{column} has over {MAX_ONE_HOT} categories: too many for columns")
+def one_hot_categories(df: DataFrame, column: str, max_categories: int = 1_000) -> list[str]:
+    """Training categories in text order. Each becomes a column, so more than ``max_categories`` are an error."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_categories + 1).collect()
+    if len(rows) > max_categories:
+        raise ValueError(f"{column} has over {max_categories} categories")
     return sorted(r[0] for r in rows)
 
 
@@ -94,11 +78,11 @@ def target_means(df: DataFrame, column: str, label: str, output: str = "role_ris
 
 
 def apply_target_means(
-    df: DataFrame, means: DataFrame, n_values: int, column: str, output: str, default: Column
+    df: DataFrame, means: DataFrame, column: str, output: str, default: Column
 ) -> DataFrame:
     """Look the mean up; ``default`` where the value was not in training."""
     table = means.select(F.col(column).alias("_key"), F.col(output).alias("_mean"))
-    joined = df.join(_sized(table, n_values), df[column] == F.col("_key"), "left")
+    joined = df.join(table, df[column] == F.col("_key"), "left")
     names = [c for c in df.columns if c != output]
     return joined.withColumn(output, F.coalesce("_mean", default)).select(*names, output)
 

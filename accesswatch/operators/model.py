@@ -24,7 +24,6 @@ CLASS_WEIGHTS = {0: 1.0, 1: 5.0}
 TREES = 200
 DIAGNOSTIC_TREES = 100
 SEED = 42
-MAX_CLASSES = 1_000
 
 
 # --- splitting -----------------------------------------------------------------------
@@ -54,9 +53,7 @@ def split_cuts(df: DataFrame, label: str = LABEL, test_size: float = 0.2, event_
     rows, and a few passes settle any number of rows.
     """
     hashed = df.select(F.col(label).alias("c"), _spread(event_id, seed).alias("h")).where("c is not null")
-    totals = {r.c: r.n for r in hashed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).take(MAX_CLASSES + 1)}
-    if len(totals) > MAX_CLASSES:
-        raise ValueError(f"{label} has over {MAX_CLASSES} classes")
+    totals = {r.c: r.n for r in hashed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     left = _test_sizes(totals, test_size)
     prefix = {c: "" for c, k in left.items() if k > 0}
     cuts = {c: "" for c, k in left.items() if k == 0}
@@ -103,18 +100,19 @@ def stratified_split(
 # --- fitting -------------------------------------------------------------------------
 
 
-def balanced_weights(df: DataFrame, label: str = LABEL) -> dict[int, float]:
-    """n / (classes * n of the class)."""
-    counts = {int(r[0]): r[1] for r in df.groupBy(label).count().take(MAX_CLASSES + 1) if r[0] is not None}
+def balanced_weights(df: DataFrame, label: str = LABEL) -> dict[float, float]:
+    """n / (classes * n of the class), of every class."""
+    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
     n = sum(counts.values())
     return {c: n / (len(counts) * k) for c, k in counts.items()}
 
 
 def _weight(weights: dict[int, float], label: str) -> Column:
-    out = F.lit(1.0)
-    for c, w in weights.items():
-        out = F.when(F.col(label) == c, F.lit(float(w))).otherwise(out)
-    return out
+    """Weight of the row's class; 1 for classes without one."""
+    if not weights:
+        return F.lit(1.0)
+    table = F.map_from_arrays(F.lit([float(c) for c in weights]), F.lit([float(w) for w in weights.values()]))
+    return F.coalesce(F.try_element_at(table, F.col(label).cast("double")), F.lit(1.0))
 
 
 def _scaling_stage(scaler: Scaler) -> SQLTransformer:

@@ -41,6 +41,14 @@ def valid_rows(log: DataFrame) -> DataFrame:
     return log.where(F.col("Timestamp").isNotNull())
 
 
+def time_counts(log: DataFrame) -> DataFrame:
+    """Rows, and rows that ``valid_rows`` drops for their time, as one row."""
+    ts = F.col("Timestamp")
+    if dict(log.dtypes)["Timestamp"] == "string":
+        ts = T.parse_timestamp(ts)
+    return log.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ts.isNull()).alias("n_dropped"))
+
+
 def row_features(log: DataFrame, rules: dict, match: str = "prefix") -> DataFrame:
     """Features that need only the row and the rule table: no shuffle."""
     settings = validate_rules(rules)["FEATURE_ENGINEERING"]
@@ -68,7 +76,6 @@ class FeatureEncoders:
     levels: dict[int, LabelCodes]
     methods: list[str]
     risk: DataFrame | None = None
-    n_risks: int = 0
     mean_risk: float = 0.0
 
     def apply(self, df: DataFrame, unseen_role: str = "error") -> DataFrame:
@@ -84,7 +91,7 @@ class FeatureEncoders:
         df = one_hot(df, "HTTP_Method", self.methods)
         if self.risk is None:
             return with_defaults(df, ["role_risk"], 0.0)
-        return apply_target_means(df, self.risk, self.n_risks, "Role", "role_risk", F.lit(self.mean_risk))
+        return apply_target_means(df, self.risk, "Role", "role_risk", F.lit(self.mean_risk))
 
     def save(self, path: str) -> None:
         spark = self.roles.table.sparkSession
@@ -95,7 +102,7 @@ class FeatureEncoders:
             self.risk.write.mode("overwrite").parquet(f"{path}/risk")
         meta = {
             "levels": sorted(self.levels), "methods": self.methods, "risk": self.risk is not None,
-            "n_risks": self.n_risks, "mean_risk": self.mean_risk,
+            "mean_risk": self.mean_risk,
         }
         row = spark.range(1).select(F.lit(json.dumps(meta)).alias("value"))
         row.coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -108,7 +115,6 @@ def load_encoders(spark: SparkSession, path: str) -> FeatureEncoders:
         levels={n: load_label_codes(spark, f"{path}/level_{n}") for n in meta["levels"]},
         methods=meta["methods"],
         risk=spark.read.parquet(f"{path}/risk") if meta["risk"] else None,
-        n_risks=meta["n_risks"],
         mean_risk=meta["mean_risk"],
     )
 
@@ -133,17 +139,15 @@ def fit_encoders(log: DataFrame, coded_levels: tuple[int, ...] = (1,)) -> Featur
     levels = {
         n: fit_label_codes(profile if n == 1 else log.select(parts[n - 1]), f"endpoint_level_{n}") for n in coded_levels
     }
-    risk, n_risks, mean_risk = None, 0, 0.0
+    risk, mean_risk = None, 0.0
     if LABEL in log.columns:
         mean_risk = profile.agg(F.try_divide(F.sum("s"), F.sum("n"))).first()[0] or 0.0
         risk = profile.groupBy("Role").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("role_risk"))
-        n_risks = risk.count()
     return FeatureEncoders(
         roles=fit_label_codes(profile, "Role"),
         levels=levels,
         methods=one_hot_categories(profile, "HTTP_Method"),
         risk=risk,
-        n_risks=n_risks,
         mean_risk=float(mean_risk),
     )
 

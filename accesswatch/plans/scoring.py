@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accesswatch.operators.model import predict
+from accesswatch.operators.rolling import MICROS, TrailingCount, request_rate_specs
 from accesswatch.operators.scoring import apply_override
 from accesswatch.plans.features import FeatureEncoders, build_features, valid_rows
 from accesswatch.sources.files import read_runs, split_unlabelled, write_run
@@ -21,36 +22,45 @@ def score_log(
     return apply_override(predict(model, build_features(log, rules, encoders, unseen_role=unseen_role)))
 
 
+def longest_window(specs: list[TrailingCount] | None = None) -> int:
+    """Seconds of history that rates look back on."""
+    return max(s.seconds for s in specs or request_rate_specs())
+
+
 def batch_with_history(
     spark: SparkSession, archive_path: str, batch: DataFrame, run_id: str, history_seconds: int
 ) -> DataFrame | None:
-    """Rows of an archived batch and of the window before it, marked by ``_own``.
+    """Rows whose figures an archived batch decides, marked by ``_own``, and the archived rows these look back on.
 
-    Only the days the batch touches are read. None for an empty batch. ``spark``
-    plans what follows: inside a stream give the outer session, since the
-    stream's own has adaptive execution switched off.
+    Besides the batch these are archived rows up to ``history_seconds`` after one of its rows at the earliest: what came out of
+    order is counted by rows that came before it. Only the days concerned are read. None for an empty batch. ``spark``
+    plans what follows: inside a stream give the outer session, since the stream's own has adaptive execution switched off.
     """
-    first, last = batch.agg(F.min("Timestamp"), F.max("Timestamp")).first()
+    first, last = batch.agg(F.min(F.unix_micros("Timestamp")), F.max(F.unix_micros("Timestamp"))).first()
     if first is None:
         return None
-    since = first - timedelta(seconds=history_seconds)
-    days = timedelta(days=1)
-    archive = read_runs(spark, archive_path, since.date() - days, last.date() + days)
-    near = archive.where((F.col("Timestamp") >= F.lit(since)) & (F.col("Timestamp") <= F.lit(last)))
-    marked = near.withColumn("_own", F.col("run_id") == run_id)
+    window = history_seconds * MICROS
+    day = lambda micros, more: date(1970, 1, 1) + timedelta(days=micros // (86_400 * MICROS) + more)
+    # A day more on each side, since folders are named by the session's zone.
+    archive = read_runs(spark, archive_path, day(first - window, -1), day(last + window, 1))
+    at = lambda micros: F.timestamp_micros(F.lit(micros))
+    near = archive.where((F.col("Timestamp") >= at(first - window)) & (F.col("Timestamp") <= at(last + window)))
+    marked = near.withColumn("_own", (F.col("run_id") == run_id) | (F.col("Timestamp") > at(first)))
     return marked.drop("run_id", "log_date")
 
 
 def score_batch(
     log: DataFrame, rules: dict, encoders: FeatureEncoders, model: PipelineModel, archive_path: str,
-    results_path: str, run_id: str, history_seconds: int = 600, unseen_role: str = "error",
+    results_path: str, run_id: str, history_seconds: int | None = None, unseen_role: str = "error",
     session: SparkSession | None = None,
 ) -> None:
     """Archive a batch and write its results, both once per ``run_id``.
 
-    Rates at the start of the batch count the archived logs of the window
-    before it, as if the log had never been cut into batches.
+    Rates count the archived logs of the window before, as if the log had never been cut into batches. Archived logs
+    that the batch precedes are scored anew under this run, which ``keep_last`` prefers. ``history_seconds`` is
+    the longest window of the rates by default.
     """
+    history_seconds = longest_window() if history_seconds is None else history_seconds
     write_run(split_unlabelled(valid_rows(log)), archive_path, run_id)
     near = batch_with_history(session or log.sparkSession, archive_path, valid_rows(log), run_id, history_seconds)
     if near is None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+import csv
+import re
+from datetime import date
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -11,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accesswatch.sources.schemas import (
+    FEATURE_COLUMNS,
     LABEL,
     MODEL_FEATURES,
     RAW_LOG,
     REQUIRED_LOG_COLUMNS,
+    SCORED_LOG,
     UNLABELLED_LOG,
     model_input,
     normalise_names,
@@ -22,22 +26,39 @@ from accesswatch.sources.schemas import (
 )
 
 
-MAX_DAYS_BY_NAME = 400
+_RUN = re.compile(r"[\w.-]+")
 
 
-def _csv_names(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.csv(path, header=True, inferSchema=False).columns
+def read_csv_by_name(spark: SparkSession, paths, types: dict[str, T.DataType]) -> DataFrame:
+    """Rows of CSV files whose headers may differ, matched by column name; ``_path`` is the row's file.
 
+    The first line of each file is its header. Rows are parsed once per distinct header, of which there are few; which
+    file has which header stays a table. Columns in ``types`` have those types (null where a value does not fit),
+    all others are text, and columns a file does not have are null. A value may not contain a line break.
+    """
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("_path"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"),
+    ).where(F.length(F.trim("value")) > 0)
+    heads = lines.groupBy("_path").agg(F.min_by("value", "_at").alias("_head"))
+    known = [r[0] for r in heads.select("_head").distinct().orderBy("_head").collect()]
+    if not known:
+        raise ValueError(f"no lines under {paths}")
+    rows = lines.join(heads, "_path") if len(known) > 1 else lines.withColumn("_head", F.lit(known[0]))
+    rows = rows.where("value <> _head")
+    frames = []
+    for head in known:
+        names = next(csv.reader([head.lstrip("\ufeff")]))
+        ddl = ", ".join(f"`{n.replace('`', '``')}` {types.get(n, T.StringType()).simpleString()}" for n in names)
+        parsed = F.from_csv("value", ddl, {"mode": "PERMISSIVE"})
+        frames.append(rows.where(F.col("_head") == head).select(parsed.alias("_row"), "_path").select("_row.*", "_path"))
+    return union_by_name(frames)
 
-def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw log, labelled or not; raises when a required column is missing.
 
-    Columns follow the header of the file, typed by the fixed log layout.
-    """
-    names = _csv_names(spark, path)
+def read_log_csv(spark: SparkSession, path) -> DataFrame:
+    """Raw logs, labelled or not, columns in any order; raises when a required column is missing."""
     types = {f.name: f.dataType for f in RAW_LOG.fields}
-    schema = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-    return require_columns(spark.read.csv(path, header=True, schema=schema), REQUIRED_LOG_COLUMNS)
+    return require_columns(read_csv_by_name(spark, path, types).drop("_path"), REQUIRED_LOG_COLUMNS)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -73,39 +94,45 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 
 
 def read_result_csvs(spark: SparkSession, paths) -> DataFrame:
-    """Scored CSV files of any column set, with the file's time stamp as ``run_id``.
+    """Scored CSV files of any column set and order, with the file's time stamp as ``run_id``.
 
-    One pass finds the header lines (they start with the id column), then the
-    files of each distinct header are read together.
+    Ids are text, known columns of logs, features and results have fixed types, others are text.
     """
-    headers = (
-        spark.read.text(paths)
-        .where(F.col("value").startswith("LogID,"))
-        .groupBy("value")
-        .agg(F.collect_set("_metadata.file_path").alias("files"))
-        .collect()
-    )
-    if not headers:
-        raise ValueError(f"no scored files with an id column under {paths}")
-    frames = [
-        spark.read.csv(sorted(h.files), header=True, inferSchema=True).withColumn(
-            "run_id", F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.\w+$", 1)
-        )
-        for h in headers
-    ]
-    return union_by_name(frames)
+    number = {n: T.DoubleType() for n in (*FEATURE_COLUMNS, *MODEL_FEATURES)}
+    own = {f.name: f.dataType for f in (*RAW_LOG.fields, *SCORED_LOG.fields)}
+    level = {n: T.StringType() for n in FEATURE_COLUMNS if n.startswith("endpoint_level")}
+    rows = require_columns(read_csv_by_name(spark, paths, number | level | own), ["LogID"])
+    return rows.withColumn("run_id", F.regexp_extract("_path", r"(\d+)\.\w+$", 1)).drop("_path")
 
 
 def split_unlabelled(df: DataFrame) -> DataFrame:
     return df.select(*[f.name for f in UNLABELLED_LOG.fields])
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return hadoop, hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _run_files(spark: SparkSession, path: str, run_id: str) -> dict[str, set[str]]:
+    """File names of a run by folder."""
+    hadoop, fs = _file_system(spark, path)
+    found: dict[str, set[str]] = {}
+    for f in fs.globStatus(hadoop(f"{path}/log_date=*/run_id={run_id}/*")) or ():
+        found.setdefault(f.getPath().getParent().toString(), set()).add(f.getPath().getName())
+    return found
+
+
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
     """Write one run below ``path/log_date=.../run_id=...``.
 
-    A repeated run replaces its own partitions, so a retried batch is stored
-    once. The date comes first, so that a time range can be read alone.
+    A repeated run replaces all rows of the former one, also on days it has no rows for any more: folders of the
+    run that the write left as they were are removed. The date comes first, so that a time range can be read alone.
     """
+    if not _RUN.fullmatch(run_id):
+        raise ValueError(f"a run id has letters, digits, _, . and -, not {run_id!r}")
+    spark = df.sparkSession
+    before = _run_files(spark, path, run_id)
     (
         df.withColumns({"log_date": F.to_date("Timestamp"), "run_id": F.lit(run_id)})
         .write.mode("overwrite")
@@ -113,19 +140,22 @@ def write_run(df: DataFrame, path: str, run_id: str) -> None:
         .partitionBy("log_date", "run_id")
         .parquet(path)
     )
+    after = _run_files(spark, path, run_id) if before else {}
+    hadoop, fs = _file_system(spark, path)
+    for folder, names in before.items():
+        if after.get(folder) == names:
+            fs.delete(hadoop(folder), True)
 
 
 def read_runs(spark: SparkSession, path: str, first: date, last: date) -> DataFrame:
-    """Stored runs of the given days; only their folders are listed.
-
-    At least one of the days must hold a run.
-    """
-    days = (last - first).days + 1
+    """Stored runs of the given days, however many; empty if no day has any. Only their folders are listed."""
+    hadoop, fs = _file_system(spark, path)
+    days = [f.getPath().getName() for f in fs.globStatus(hadoop(f"{path}/log_date=*")) or ()]
+    held = sorted(d for d in days if str(first) <= d.removeprefix("log_date=") <= str(last))
     reader = spark.read.option("basePath", path)
-    if days > MAX_DAYS_BY_NAME:
-        return reader.parquet(path).where(F.col("log_date").between(F.lit(first), F.lit(last)))
-    names = ",".join(str(first + timedelta(days=i)) for i in range(days))
-    return reader.parquet(f"{path}/log_date={{{names}}}")
+    if not held:
+        return reader.parquet(path).where(F.lit(False))
+    return reader.parquet(*[f"{path}/{d}" for d in held])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

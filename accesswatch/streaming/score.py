@@ -1,21 +1,22 @@
 """Exact rates, chains and scores for micro-batches.
 
 Each batch is archived under a run id made from its number, then computed
-together with the archived logs of the window before it. State is the archive
-itself: no Python workers, nothing kept per key, and a repeated batch replaces
-what it wrote.
+together with the archived logs of the window before it. Archived logs that a
+later batch precedes are computed anew and written under that batch's run, so
+the row of the latest run is right in whatever order logs arrive. State is the
+archive itself: no Python workers, nothing kept per key, and a repeated batch
+replaces what it wrote.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from accesswatch.operators.detect import injection_chains
 from accesswatch.operators.rolling import add_request_rates
 from accesswatch.plans.features import FeatureEncoders, valid_rows
-from accesswatch.plans.scoring import batch_with_history, score_batch
+from accesswatch.plans.scoring import batch_with_history, longest_window, score_batch
 from accesswatch.sources.files import split_unlabelled, write_run
 
 
@@ -54,7 +55,7 @@ def _with_history(logs: DataFrame, compute, seconds: int, archive: str, output:
 
 def rate_stream(logs, archive: str, output: str, checkpoint: str, name: str = "rates", trigger: dict | None = None):
     """Request rates that do not restart with each batch."""
-    return _with_history(logs, add_request_rates, 600, archive, output, checkpoint, name, trigger)
+    return _with_history(logs, add_request_rates, longest_window(), archive, output, checkpoint, name, trigger)
 
 
 def chain_stream(
@@ -83,9 +84,3 @@ def score_stream(
 
     return _start(logs, on_batch, checkpoint, trigger)
 
-
-def scored_summary(results: DataFrame) -> DataFrame:
-    """Logs and anomalies per run."""
-    return results.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n_logs"), F.coalesce(F.sum("predicted_anomaly"), F.lit(0)).cast("bigint").alias("n_anomalies")
-    )

@@ -418,7 +418,7 @@ def e4(spark, sf):
     train = log.where("Role <> 'Staff'")
     means = encoders.target_means(train, "Role", "Anomalous")
     overall = F.lit(train.agg(F.avg("Anomalous")).first()[0])
-    rated = encoders.apply_target_means(log, means, means.count(), "Role", "role_risk", overall)
+    rated = encoders.apply_target_means(log, means, "Role", "role_risk", overall)
     return rated.select("LogID", F.round("role_risk", 9).alias("role_risk"))
 
 

@@ -57,3 +57,25 @@ def test_union_by_name_and_csv(spark, tmp_path):
     files.write_csv(files.union_by_name([a, b]), str(tmp_path / "out"))
     back = files.read_table(spark, str(tmp_path / "out"), "csv")
     assert tuple(files.describe_table(back).first()) == (2, 3)
+
+
+def test_log_csv_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(f"{HEADER}\na,1,Nurse,2024-01-01T00:00:00,GET,/lab,10.0.0.1,200\n")
+    (tmp_path / "b.csv").write_text("Timestamp,Role,LogID,IP_Address,Endpoint,HTTP_Method,Note\n2024-01-02,Staff,007,10.0.0.2,\"/x,y\",PUT,n\n")
+    rows = {r.LogID: r for r in files.read_log_csv(spark, str(tmp_path)).collect()}
+    assert (rows["a"].Role, rows["007"].Role, rows["007"].Endpoint, rows["007"].UserID) == ("Nurse", "Staff", "/x,y", None)
+
+
+def test_a_moved_and_an_empty_repeat(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    rows = lambda day: log_rows(spark, [("a", 1, f"2024-01-0{day} 10:00:00")])
+    files.write_run(rows(2), path, "r1")
+    files.write_run(rows(3), path, "r2")
+    files.write_run(rows(1), path, "r1")
+    stored = lambda: {(r.run_id, str(r.log_date)) for r in spark.read.parquet(path).collect()}
+    assert stored() == {("r1", "2024-01-01"), ("r2", "2024-01-03")}
+    files.write_run(rows(3).where("false"), path, "r2")
+    assert stored() == {("r1", "2024-01-01")}
+    assert files.read_runs(spark, path, date(2023, 1, 1), date(2023, 2, 1)).count() == 0
+    with pytest.raises(ValueError, match="run id"):
+        files.write_run(rows(1), path, "../x")

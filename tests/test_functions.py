@@ -106,3 +106,15 @@ def test_network_class_equals_the_standard_library(spark):
 @pytest.mark.parametrize("ip, kind", [("10.1.2.3", "Internal"), ("8.8.8.8", "External"), ("unknown", "External")])
 def test_ip_class(spark, ip, kind):
     assert column(spark, [ip], [I.ip_class(F.col("x"))]) == [(kind,)]
+
+
+def test_unusual_hours_within_a_day(spark):
+    day = column(spark, ["2024-01-01 08:59:59", "2024-01-01 09:00:00", "2024-01-01 16:59:59", "2024-01-01 17:00:00"],
+                 [T.in_unusual_hours(T.parse_timestamp(F.col("x")), (9, 17))])
+    assert [v for (v,) in day] == [False, True, True, False]
+
+
+def test_times_without_a_date_are_no_times(spark):
+    texts = ["10:00:00", "T10:00", "2024", "2024-01-02T03:04:05Z", "2024-01-02", "", "2024-02-30"]
+    found = column(spark, texts, [T.parse_timestamp(F.col("x")).cast("string")])
+    assert [v for (v,) in found] == [None, None, None, "2024-01-02 03:04:05", "2024-01-02 00:00:00", None, None]

@@ -141,3 +141,11 @@ def test_encoders_round_trip(spark, tmp_path):
     assert sorted(map(tuple, loaded.levels[3].table.collect())) == [("1234", 0), ("7000", 1)]
     assert sorted(map(tuple, loaded.risk.collect())) == sorted(map(tuple, fitted.risk.collect()))
     assert loaded.roles.n_classes == 4
+
+
+def test_weights_of_many_classes(spark):
+    df = spark.range(3000).select((F.col("id") % 1500).cast("int").alias("Anomalous"))
+    weights = M.balanced_weights(df)
+    assert len(weights) == 1500 and set(weights.values()) == {1.0}
+    weighed = df.select(M._weight({0: 2.0, 1499: 3.0}, "Anomalous").alias("w")).groupBy("w").count().collect()
+    assert {r.w: r["count"] for r in weighed} == {1.0: 2996, 2.0: 2, 3.0: 2}

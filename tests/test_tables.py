@@ -64,10 +64,8 @@ def test_label_codes(spark):
     assert known.n_classes == 4
 
 
-def test_many_label_codes(spark, monkeypatch):
+def test_many_label_codes(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("x"))
-    monkeypatch.setattr(encoders, "LOCAL_CLASSES", 10)
-    monkeypatch.setattr(encoders, "BROADCAST_CLASSES", 10)
     codes = encoders.fit_label_codes(df, "x")
     expected = {v: i for i, v in enumerate(sorted(str(n) for n in range(3000)))}
     assert {r.x: r.c for r in codes.apply(df, "x", "c").collect()} == expected
@@ -89,7 +87,7 @@ def test_one_hot_and_target_means(spark):
     assert [tuple(r) for r in encoders.one_hot(df, "m", cats).collect()][2] == (0, 0.0, 0.0)
     means = encoders.target_means(df, "m", "y", "risk")
     unseen = spark.createDataFrame([("GET",), ("HEAD",)], "m string")
-    out = encoders.apply_target_means(unseen, means, 3, "m", "risk", F.lit(0.25)).collect()
+    out = encoders.apply_target_means(unseen, means, "m", "risk", F.lit(0.25)).collect()
     assert {r.m: r.risk for r in out} == {"GET": 0.5, "HEAD": 0.25}
 
 
