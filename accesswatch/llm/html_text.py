@@ -45,10 +45,11 @@ MAIN = {"article", "main"}
 
 @dataclass
 class Part:
-    """A tag, or the words between two tags."""
+    """A tag, or the text between two tags with its number of words."""
 
     tag: str
-    words: list[str]
+    text: str
+    words: int
     apart: bool
     main: int
 
@@ -61,11 +62,9 @@ def parts_of(page: str) -> list[Part]:
     apart, main, mains, at, end = False, -1, 0, 0, len(page)
 
     def words(text: str) -> None:
-        found = html.unescape(text).split() if "&" in text else text.split()
-        if found:
-            out.append(Part("", found, apart, main))
-        elif text:
-            out.append(Part(" ", [], apart, main))
+        if text:
+            text = html.unescape(text) if "&" in text else text
+            out.append(Part("", text, len(text.split()), apart, main))
 
     while at < end:
         m = _TAG.search(page, at)
@@ -99,7 +98,7 @@ def parts_of(page: str) -> list[Part]:
             apart = any(a for _, a in stack)
             if name in MAIN and main < 0 and not apart:
                 main, mains = mains, mains + 1
-        out.append(Part(name, [], apart, main))
+        out.append(Part(name, " " if name == "br" else "", 0, apart, main))
     return out
 
 
@@ -126,10 +125,10 @@ class Weights:
 
 def count_parts(page: str) -> Counter:
     """Words and tags of a page with an article element, inside and outside of it, by (tag or '', inside)."""
-    parts, out = [p for p in parts_of(page) if not p.apart and p.tag != " "], Counter()
+    parts, out = [p for p in parts_of(page) if not p.apart], Counter()
     if any(p.main >= 0 for p in parts):
         for p in parts:
-            out[p.tag, p.main >= 0] += len(p.words) or 1
+            out[p.tag, p.main >= 0] += 1 if p.tag else p.words
     return out
 
 
@@ -163,7 +162,7 @@ def main_text(page: str, weights: Weights) -> str:
     """The best run's words by block. A run that ends inside an article element is widened to the whole of it."""
     parts = parts_of(page)
     scores = [
-        0.0 if p.apart or p.tag == " " else len(p.words) * weights.word if not p.tag else weights.tags.get(p.tag, weights.other)
+        0.0 if p.apart else p.words * weights.word if not p.tag else weights.tags.get(p.tag, weights.other)
         for p in parts
     ]
     start, stop = best_run(scores)
@@ -176,13 +175,13 @@ def main_text(page: str, weights: Weights) -> str:
             while stop < len(parts) and parts[stop].main == parts[i].main:
                 stop += 1
     blocks: list[list[str]] = [[]]
-    for i in range(start, stop):
-        p = parts[i]
+    for p in parts[start:stop]:
         if p.tag in BLOCK:
             blocks.append([])
-        elif p.words and not p.apart:
-            blocks[-1].extend(p.words)
-    return "\n".join(" ".join(b) for b in blocks if b)
+        elif not p.apart:
+            blocks[-1].append(p.text)
+    joined = (" ".join("".join(b).split()) for b in blocks)
+    return "\n".join(b for b in joined if b)
 
 
 def fit_weights(pages: DataFrame, sample: int = 2000, page_id: str = "page_id", page: str = "html") -> Weights:

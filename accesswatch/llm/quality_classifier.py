@@ -15,20 +15,22 @@ from pyspark.sql import functions as F
 from accesswatch.llm.common import text_or_empty
 
 #: Bytes compressed at a time. A long text would else become its own dictionary.
-CHUNK = 4096
+CHUNK = 2048
 
 
 @dataclass
 class QualityModel:
-    """Two dictionaries and the logistic curve over their difference."""
+    """Two dictionaries and the logistic surface over the size differences."""
 
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    slopes: tuple[float, float] = (1.0, 0.0)
+    offset: float = 0.0
 
-    def difference(self, texts: list[str]) -> list[float]:
-        """(bad size - good size) / (bad size + good size), summed over all chunks of each whole text."""
+    def differences(self, texts: list[str]) -> np.ndarray:
+        """For each whole text, summed over its chunks: (bad size - good size) / (bad size + good size), at most 0.25 either
+        way as copies of a sample would else stand out, and what both
+        dictionaries save of its bytes, 0 to 1: text that repeats itself is short under either."""
         sizes = []
         for held in (self.bad, self.good):
             kept = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -38,35 +40,49 @@ class QualityModel:
                     dict_data=kept, level=3, write_checksum=False, write_content_size=False, write_dict_id=False
                 ).compress
             )
-        bad, good, out = *sizes, []
-        for text in texts:
+        bad, good, out = *sizes, np.zeros((len(texts), 2))
+        for row, text in zip(out, texts):
             data = text.encode()
             chunks = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
-            b, g = sum(len(bad(c)) for c in chunks), sum(len(good(c)) for c in chunks)
-            out.append((b - g) / (b + g) if chunks else 0.0)
+            if chunks:
+                b, g = sum(len(bad(c)) for c in chunks), sum(len(good(c)) for c in chunks)
+                row[:] = max(-0.25, min(0.25, (b - g) / (b + g))), max(0.0, 1 - (b + g) / 2 / len(data))
         return out
 
     def scores(self, texts: list[str]) -> list[float]:
-        return [_logistic(self.slope * d + self.offset) for d in self.difference(texts)]
+        return [_logistic(float(z)) for z in self.differences(texts) @ np.array(self.slopes) + self.offset]
 
 
 def _logistic(z: float) -> float:
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, both classes weighing alike, moved to the prior. Newton's steps."""
+def _calibrated(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[tuple[float, float], float]:
+    """Slopes and offset of a logistic fit, both classes weighing alike, moved to the prior. Newton's steps."""
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    scale = x.std() or 1.0
-    design, beta, ridge = np.stack([x / scale, np.ones(len(x))], 1), np.zeros(2), np.diag([1e-4, 1e-8])
-    for _ in range(50):
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    middle = np.median(x, axis=0)
+    design = np.column_stack([(x - middle) / scale, np.ones(len(x))])
+    # The fewer rows, the flatter the fit: they say less about the rest.
+    beta, ridge = np.zeros(3), np.array([1.0, 1.0, 1e-6]) * (1e-3 + 0.5 / len(y))
+
+    def loss(b: np.ndarray) -> float:
+        z = design @ b
+        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge @ (b * b) / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (weight * (y - p)) - ridge @ beta
-        step = np.linalg.solve(design.T @ (design * (weight * p * (1 - p))[:, None]) + ridge, slope)
-        beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+        slope = design.T @ (weight * (p - y)) + ridge * beta
+        step = np.linalg.solve(design.T @ (design * (weight * p * (1 - p))[:, None]) + np.diag(ridge), slope)
+        size = 1.0
+        while loss(beta - size * step) > loss(beta) and size > 1e-6:
+            size /= 2
+        beta = beta - size * step
+        if np.abs(size * step).max() < 1e-9:
             break
-    return float(beta[0] / scale), float(beta[1] + math.log(prior / (1 - prior)))
+    slopes = beta[:2] / scale
+    return tuple(slopes.tolist()), float(beta[2] - slopes @ middle + math.log(prior / (1 - prior)))
+
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
@@ -79,13 +95,13 @@ def _dictionary(texts: list[str], size: int) -> bytes:
 
 
 def fit_quality(
-    documents: DataFrame, labels: DataFrame, sample: int = 3000, window: int = CHUNK, size: int = 112_640
+    documents: DataFrame, labels: DataFrame, sample: int = 3000, window: int = 4096, size: int = 524_288
 ) -> QualityModel | float:
     """A model from labelled rows: ``documents`` (doc_id, text) and ``labels`` (doc_id, label 1 or 0).
 
     Of each class, the ``sample`` documents of least hashed id are taken, and of each a stretch of up to ``window``
-    characters at a hashed place: what reaches the driver is bounded by both parameters. Three quarters make the
-    dictionaries, the rest the curve; the share of each class among all labels is the prior. With labels of one class
+    characters at a hashed place: what reaches the driver is bounded by both parameters. Three quarters of a class make
+    its dictionary, the rest the fit (under four documents make both); the share of each class among all labels is the prior. With labels of one class
     only, or none, the result is a constant score. Null labels and ids are left out.
     """
     known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
@@ -101,23 +117,26 @@ def fit_quality(
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - window + 1))
     rows = (
         documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(taken), "doc_id")
-        .select("label", F.pmod(F.xxhash64("doc_id", F.lit("use")), F.lit(4)).alias("use"),
-                F.col("text").substr((place + 1).cast("int"), F.lit(window)).alias("text"), "doc_id")
+        .select("label", F.xxhash64("doc_id", F.lit("use")).alias("use"),
+                F.col("text").substr((place + 1).cast("int"), F.lit(window)).alias("text"))
         .collect()
     )
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.label, r.text))
-    held = [_dictionary([r.text for r in rows if r.label == label and r.use], size) for label in (1, 0)]
-    model = QualityModel(held[0], held[1], 1.0, 0.0)
-    rest = [r for r in rows if not r.use] or rows
+    held, rest = [], []
+    for label in (1, 0):
+        own = sorted((r for r in rows if r.label == label), key=lambda r: (r.use, r.text))
+        few = len(own) < 4
+        held.append(_dictionary([r.text for i, r in enumerate(own) if few or i % 4], size))
+        rest += [r for i, r in enumerate(own) if few or not i % 4]
+    model = QualityModel(*held)
     y = np.array([r.label for r in rest], float)
     if len(set(y)) < 2:
         return prior
-    model.slope, model.offset = _calibrated(np.array(model.difference([r.text for r in rest])), y, prior)
+    model.slopes, model.offset = _calibrated(model.differences([r.text for r in rest]), y, prior)
     return model
 
 
 def quality_score(text: Column, model: QualityModel | float, spark) -> Column:
-    """Score from 0 to 1 of each whole text, null as empty. An empty text has no difference: the curve at zero."""
+    """Score from 0 to 1 of each whole text, null as empty. An empty text has no differences: the fit at zero."""
     if isinstance(model, float):
         return F.lit(model)
     shared = spark.sparkContext.broadcast(model)
