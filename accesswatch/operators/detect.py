@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesswatch.functions.endpoint import request_parameters, resource_id, resource_path
@@ -89,9 +89,14 @@ def _operations(df: DataFrame, resource: str, *methods: str) -> DataFrame:
     return chosen.where(resource_path(F.col("Endpoint")) == resource)
 
 
+def decoded(text: Column) -> Column:
+    """Percent signs and plus signs of a URL decoded; text that is not well-formed stays."""
+    return F.coalesce(F.try_url_decode(text), text)
+
+
 def with_payload(df: DataFrame, pattern: str = INJECTION) -> DataFrame:
-    """Requests whose query payload looks like an attack."""
-    payload = request_parameters(F.col("Endpoint"))[-1]
+    """Requests whose decoded query payload looks like an attack: ``INJECTION`` or ``SCRIPT``."""
+    payload = decoded(request_parameters(F.col("Endpoint"))[-1])
     return df.where(F.col("Endpoint").contains("query=")).withColumn("payload", payload).where(F.col("payload").rlike(pattern))
 
 
@@ -130,7 +135,7 @@ def injection_chains(
     reads = [f"{m} {e}" for e, m in pairs["data_exfiltration"]]
     endpoint = F.col("Endpoint")
     step = F.concat_ws(" ", "HTTP_Method", resource_path(endpoint))
-    injected = endpoint.rlike(rf"(?s)[?&]query=.*(?:{INJECTION})") & step.isin(*entries)
+    injected = decoded(endpoint).rlike(rf"(?s)[?&]query=.*(?:{INJECTION})") & step.isin(*entries)
     if statuses is not None:
         injected = F.col("HTTP_Response").isin(*statuses) & injected
     # Only rows that can take part are shuffled.

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-import warnings
 
-from pyspark.errors import AnalysisException, IllegalArgumentException
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -17,7 +16,7 @@ from accesswatch.operators.encoders import Scaler, fit_scaler
 from accesswatch.operators.metrics import binary_metrics, roc_auc
 from accesswatch.operators.quality import ratio
 from accesswatch.session import checkpoint_dir
-from accesswatch.sources.schemas import LABEL, MODEL_FEATURES, SCALED_FEATURES, model_input
+from accesswatch.sources.schemas import LABEL, MODEL_FEATURES, SCALED_FEATURES, model_input, with_defaults
 
 # Weights and tree counts of the published models.
 CLASS_WEIGHTS = {0: 1.0, 1: 5.0}
@@ -165,12 +164,14 @@ def fit_forest(
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add ``predicted_anomaly`` and ``anomaly_score``; the row keeps all its columns."""
-    return model.transform(df).withColumns(
-        {
-            "predicted_anomaly": F.col("prediction").cast("int"),
-            "anomaly_score": vector_to_array(F.col("probability"))[1],
-        }
+    """Add ``predicted_anomaly`` and ``anomaly_score``; the row keeps all its columns.
+
+    The score is the probability of an anomaly, or the decision value of a model without probabilities.
+    """
+    out = model.transform(df)
+    score = "probability" if "probability" in out.columns else "rawPrediction"
+    return out.withColumns(
+        {"predicted_anomaly": F.col("prediction").cast("int"), "anomaly_score": vector_to_array(F.col(score))[1]}
     ).select(*[c for c in df.columns if c not in ("predicted_anomaly", "anomaly_score")], "predicted_anomaly", "anomaly_score")
 
 
@@ -195,20 +196,22 @@ def _is_missing(error: Exception) -> bool:
 def predict_with_models(models: dict[str, PipelineModel], df: DataFrame, keep=("LogID", "Timestamp")) -> DataFrame:
     """One prediction column per model beside the kept columns: no join, no index.
 
-    A model whose inputs the rows do not have is left out with a warning.
+    A feature that a model takes and the rows do not have counts as 0.
     """
     names = {}
     for name, model in models.items():
-        column = f"{name}_predicted_anomaly"
-        try:
-            df = predict(model, df).withColumnRenamed("predicted_anomaly", column).drop("anomaly_score")
-        except (AnalysisException, IllegalArgumentException) as error:
-            warnings.warn(f"model {name} does not fit these rows: {error}", stacklevel=2)
-            continue
-        names[name] = column
+        names[name] = column = f"{name}_predicted_anomaly"
+        filled = with_defaults(df, input_names(model))
+        df = predict(model, filled).withColumnRenamed("predicted_anomaly", column).drop("anomaly_score")
     return df.select(*keep, *names.values())
 
 
+def input_names(model: PipelineModel) -> list[str]:
+    """Features a fitted pipeline takes, in its order."""
+    (assembler,) = [s for s in model.stages if isinstance(s, VectorAssembler)]
+    return [c.removeprefix("_scaled_") for c in assembler.getInputCols()]
+
+
 def anomalies_per_model(predictions: DataFrame) -> DataFrame:
     columns = [c for c in predictions.columns if c.endswith("_predicted_anomaly")]
     row = predictions.agg(*[F.count_if(F.col(c) == 1).alias(c) for c in columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesswatch.functions.ip import ip_class, is_internal_ip
+from accesswatch.functions.ip import is_internal_ip
 from accesswatch.functions.temporal import REPORT_HOURS, hour_or_default, in_unusual_hours
 from accesswatch.operators.quality import ratio
 
@@ -108,10 +108,6 @@ def usage_by_network(df: DataFrame) -> DataFrame:
     return _usage(df, F.when(F.col("is_internal_ip"), "Internal").otherwise("External").alias("IP_Type"))
 
 
-def usage_by_ip_class(df: DataFrame) -> DataFrame:
-    return _usage(df, ip_class(F.col("IP_Address")).alias("IP_Type"))
-
-
 def usage_by_endpoint(df: DataFrame) -> DataFrame:
     return _usage(df, F.col("Endpoint"))
 
@@ -143,3 +139,8 @@ def borderline_logs(df: DataFrame, low: float = 0.5, high: float | None = None)
     if high is not None:
         chosen = chosen & (F.col("anomaly_score") <= F.lit(float(high)))
     return df.where(chosen)
+
+
+def timeline(df: DataFrame) -> DataFrame:
+    """Logs by time; logs of one instant by id."""
+    return df.orderBy("Timestamp", "LogID")

@@ -143,3 +143,8 @@ def request_rate_specs(minutes: int = 5, inventory_minutes: int = 10) -> list[Tr
 def add_request_rates(df: DataFrame, strategy: str = "instants") -> DataFrame:
     run = {"instants": trailing_counts, "window": trailing_counts_window}[strategy]
     return run(df, ["UserID"], "Timestamp", request_rate_specs())
+
+
+def by_user_and_time(df: DataFrame) -> DataFrame:
+    """Logs by user, then time, then id."""
+    return df.orderBy("UserID", "Timestamp", "LogID")

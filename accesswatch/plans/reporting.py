@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accesswatch.operators import report
@@ -13,6 +16,7 @@ ARCHIVED_LOG = T.StructType(
     [T.StructField(f.name, T.TimestampType()) if f.name == "Timestamp" else f for f in UNLABELLED_LOG.fields]
     + [T.StructField("run_id", T.StringType())]
 )
+_DAY = T.StructField("log_date", T.DateType())
 
 
 def report_base(archive: DataFrame, results: DataFrame) -> DataFrame:
@@ -26,13 +30,24 @@ def report_base(archive: DataFrame, results: DataFrame) -> DataFrame:
     return report.with_report_columns(merged)
 
 
-def load_report_base(spark: SparkSession, archive_path: str, results_path: str) -> DataFrame:
-    """The same from the stores; a store without any run counts as empty."""
-    archive = read_or_empty(spark, archive_path, ARCHIVED_LOG)
-    return report_base(archive, read_or_empty(spark, results_path, SCORED_LOG))
+def load_report_base(
+    spark: SparkSession, archive_path: str, results_path: str, since: date | None = None, until: date | None = None
+) -> DataFrame:
+    """The same from the stores; a store without any run counts as empty.
+
+    ``since`` and ``until`` (both included) restrict the report to logs of those days; other days are not read.
+    """
+
+    def stored(path: str, schema: T.StructType) -> DataFrame:
+        rows = read_or_empty(spark, path, T.StructType([*schema.fields, _DAY]))
+        if since is not None:
+            rows = rows.where(F.col("log_date") >= F.lit(since))
+        return rows if until is None else rows.where(F.col("log_date") <= F.lit(until))
+
+    return report_base(stored(archive_path, ARCHIVED_LOG), stored(results_path, SCORED_LOG))
 
 
-def report_tables(base: DataFrame) -> dict[str, DataFrame]:
+def report_tables(base: DataFrame, borderline: float = 0.3) -> dict[str, DataFrame]:
     """All tables of the report by name; cache ``base`` when several are used."""
     return {
         "headline": report.headline(base),
@@ -41,5 +56,7 @@ def report_tables(base: DataFrame) -> dict[str, DataFrame]:
         "top_endpoints": report.top_endpoints(base),
         "top_endpoints_of_anomalies": report.top_endpoints(base, anomalies=True),
         "daily_unusual_hours": report.daily_unusual(base),
-        "borderline": report.borderline_logs(base, 0.3),
+        "borderline": report.borderline_logs(base, borderline),
+        "anomalous": report.anomalous_logs(base),
+        "normal": report.normal_logs(base),
     }

@@ -139,11 +139,6 @@ def _local(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> Data
 _TEXT = pa.string()
 
 
-def role_scenarios(spark: SparkSession, rules: dict) -> DataFrame:
-    rows = [(r, s, float(w)) for r, ws in rules["ANOMALY_SCENARIOS"].items() for s, w in ws.items()]
-    return _local(spark, rows, Role=_TEXT, scenario=_TEXT, weight=pa.float64())
-
-
 def scenario_endpoints(spark: SparkSession, rules: dict) -> DataFrame:
     rows = [(s, e, m) for s, pairs in rules["ANOMALOUS_ENDPOINTS"].items() for e, m in pairs]
     return _local(spark, rows, scenario=_TEXT, rule_endpoint=_TEXT, HTTP_Method=_TEXT)

@@ -48,6 +48,24 @@ def d4(spark, sf):
     return detect.with_payload(clog(spark, sf)).select("LogID", F.lit("OR").alias("kind"))
 
 
+def _paid(spark, sf, payload: str):
+    """Logs whose payload is another one."""
+    return clog(spark, sf).withColumn("Endpoint", F.replace("Endpoint", F.lit("' OR 1=1 --"), F.lit(payload)))
+
+
+PAID = CLOG_SQL + """SELECT "LogID" FROM clog WHERE "Endpoint" LIKE '%query=%' """
+
+
+@register("d4_encoded_payloads", PAID)
+def d4_encoded(spark, sf):
+    return detect.with_payload(_paid(spark, sf, "%27+OR%201%3D1%20--")).select("LogID")
+
+
+@register("d5_script_payloads", PAID)
+def d5(spark, sf):
+    return detect.with_payload(_paid(spark, sf, "%3Cscript%3Ealert(1)%3C/script%3E"), detect.SCRIPT).select("LogID")
+
+
 def _bursts(gap: int) -> str:
     return BURST_SQL + f""", a AS (SELECT "UserID", "Timestamp" AS t, lag("Timestamp") OVER (PARTITION BY "UserID" ORDER BY "Timestamp") AS p
   FROM clog_burst WHERE "HTTP_Method" = 'DELETE' AND {RESOURCE} = '/login/attempts'),

@@ -335,10 +335,10 @@ def w1_clog(spark, sf):
 
 @register(
     "t1_user_timeline",
-    CLOG_SQL + f"""SELECT "UserID", "LogID", strftime("Timestamp", {STAMP}) AS "Timestamp" FROM clog ORDER BY "UserID", clog."Timestamp" """,
+    CLOG_SQL + f"""SELECT "UserID", "LogID", strftime("Timestamp", {STAMP}) AS "Timestamp" FROM clog ORDER BY "UserID", clog."Timestamp", "LogID" """,
 )
 def t1(spark, sf):
-    ordered = clog(spark, sf).orderBy("UserID", "Timestamp")
+    ordered = rolling.by_user_and_time(clog(spark, sf))
     return ordered.select("UserID", "LogID", stamp("Timestamp").alias("Timestamp"))
 
 

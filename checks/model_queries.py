@@ -98,7 +98,7 @@ def trained(spark, sf) -> tuple[Trained, str]:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
         folder = work_folder(spark)
-        _TRAINED[key] = (train_models(dense_log(spark, sf), default_rules(), folder, max_depth=12), folder)
+        _TRAINED[key] = (train_models(dense_log(spark, sf), default_rules(), folder), folder)
     return _TRAINED[key]
 
 
@@ -190,7 +190,7 @@ def feature_correlations(spark, sf):
 def diagnostics(spark, sf):
     _, folder = trained(spark, sf)
     table = spark.read.parquet(f"{folder}/training_features").drop("Timestamp", "Role", "Endpoint")
-    report = diagnose(table, trees=20, max_depth=8)
+    report = diagnose(table)
     rows = [e.withColumn("model", F.lit(n)) for n, e in report.evaluations.items()]
     return rows[0].unionByName(rows[1])
 

@@ -151,10 +151,10 @@ def f6(spark, sf):
 
 @register(
     "t2_timeline",
-    CLOG_SQL + f"""SELECT "LogID", strftime("Timestamp", {STAMP}) AS "Timestamp" FROM clog ORDER BY clog."Timestamp" """,
+    CLOG_SQL + f"""SELECT "LogID", strftime("Timestamp", {STAMP}) AS "Timestamp" FROM clog ORDER BY clog."Timestamp", "LogID" """,
 )
 def t2(spark, sf):
-    return clog(spark, sf).orderBy("Timestamp").select("LogID", stamp("Timestamp").alias("Timestamp"))
+    return report.timeline(clog(spark, sf)).select("LogID", stamp("Timestamp").alias("Timestamp"))
 
 
 OVERRIDE = RUNS_SQL + """, o AS (SELECT "LogID", coalesce("Role" IN ('Doctor', 'Nurse') AND "Endpoint" IN

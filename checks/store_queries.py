@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from accesswatch.functions import temporal as T
 from accesswatch.operators import model as M
 from accesswatch.plans.features import build_features, fit_encoders, time_counts
+from accesswatch.plans.reporting import load_report_base
 from accesswatch.sources import files, schemas
 from accesswatch.sources.rules import default_rules
 from checks.clog import CLOG_SQL, DENSE_SQL, LOG_COLUMNS, RUNS_SQL, STAMP, clog, run_a, run_b, stamp
@@ -163,3 +164,16 @@ def m7(spark, sf):
     rows = _deleting(spark, sf)
     tables = [M.importances(M.fit_logistic(rows, c=c)) for c in (1.0, 0.1)]
     return M.top_feature_union([M.top_features(t) for t in tables], 1)
+
+
+@register(
+    "j1_report_of_a_period",
+    CLOG_SQL + """SELECT "LogID", ("k" >= 70)::INTEGER AS predicted_anomaly FROM clog
+WHERE "Timestamp"::DATE = (SELECT min("Timestamp")::DATE FROM clog)""",
+)
+def j1_period(spark, sf):
+    log, folder = clog(spark, sf), work_folder(spark)
+    files.write_run(files.split_unlabelled(log), f"{folder}/archive", "1")
+    files.write_run(run_b(log.withColumn("event_id", F.lit(0))).drop("run_id"), f"{folder}/results", "1")
+    day = log.agg(F.to_date(F.min("Timestamp"))).first()[0]
+    return load_report_base(spark, f"{folder}/archive", f"{folder}/results", day, day).select("LogID", "predicted_anomaly")

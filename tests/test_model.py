@@ -85,8 +85,26 @@ def test_forest_and_explanations(rows, tmp_path):
     assert both.columns == ["LogID", "forest_predicted_anomaly", "again_predicted_anomaly"] and both.count() == 240
     counts = {r.model: r.n_anomalies for r in M.anomalies_per_model(both).collect()}
     assert counts["forest"] == counts["again"] > 0
-    with pytest.warns(UserWarning, match="does not fit"):
-        assert M.predict_with_models({"forest": forest}, test.drop("a"), keep=("LogID",)).columns == ["LogID"]
+    # An absent feature counts as 0.
+    without = M.predict_with_models({"forest": forest}, test.drop("a"), keep=("LogID",))
+    zero = M.predict_with_models({"forest": forest}, test.withColumn("a", F.lit(0.0)), keep=("LogID",))
+    assert without.count() == 240 and without.exceptAll(zero).count() == 0
+
+
+def test_a_model_without_probability(rows):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import VectorAssembler
+
+    stages = [VectorAssembler(inputCols=["a", "b", "c"], outputCol="_features"),
+              LinearSVC(featuresCol="_features", labelCol="Anomalous", maxIter=20)]
+    scored = M.predict(Pipeline(stages=stages).fit(rows), rows)
+    assert scored.where("(anomaly_score > 0) <> (predicted_anomaly = 1)").count() == 0
+
+
+def test_top_features_of_two(rows):
+    names = ["a", "b", "c"]
+    forest = M.fit_forest(rows, names, trees=5, max_depth=4, scaled=())
     assert M.top_feature_union([M.importances(forest, names)] * 2, 2).count() == 2
 
 
