@@ -10,6 +10,7 @@ from accesswatch.functions import temporal as T
 from accesswatch.operators import model as M
 from accesswatch.plans.features import build_features, fit_encoders, time_counts
 from accesswatch.plans.reporting import load_report_base
+from accesswatch.plans.scoring import score_batch
 from accesswatch.sources import files, schemas
 from accesswatch.sources.rules import default_rules
 from checks.clog import CLOG_SQL, DENSE_SQL, LOG_COLUMNS, RUNS_SQL, STAMP, clog, run_a, run_b, stamp
@@ -130,10 +131,20 @@ def f1_dropped(spark, sf):
     return time_counts(_time_texts(spark, sf))
 
 
-def _deleting(spark, sf):
-    """Features of all logs, labelled by a thing the features say: whether the request deletes."""
-    log = dense_log(spark, sf).withColumn("Anomalous", (F.col("HTTP_Method") == "DELETE").cast("int"))
-    return build_features(log, default_rules(), fit_encoders(log), keep_label=True)
+_FITTED: dict[tuple, tuple] = {}
+
+
+def _deleting(spark, sf, c: float = 1.0):
+    """Encoders, features of all logs and a logistic model, for a label that the features say: whether the request
+    deletes. Fitted once per session."""
+    key = (spark.sparkContext.applicationId, sf, c)
+    if key not in _FITTED:
+        log = dense_log(spark, sf).withColumn("Anomalous", (F.col("HTTP_Method") == "DELETE").cast("int"))
+        encoders = _FITTED[key[:2]][0] if key[:2] in _FITTED else fit_encoders(log)
+        rows = _FITTED[key[:2]][1] if key[:2] in _FITTED else build_features(log, default_rules(), encoders, keep_label=True)
+        _FITTED[key[:2]] = (encoders, rows)
+        _FITTED[key] = (encoders, rows, M.fit_logistic(rows, c=c))
+    return _FITTED[key]
 
 
 DELETES = DENSE_SQL + """SELECT "LogID", ("HTTP_Method" = 'DELETE')::INTEGER AS predicted_anomaly FROM clog_dense"""
@@ -141,8 +152,8 @@ DELETES = DENSE_SQL + """SELECT "LogID", ("HTTP_Method" = 'DELETE')::INTEGER AS
 
 @register("m2_m4_deletes_by_logistic", DELETES)
 def m2(spark, sf):
-    rows = _deleting(spark, sf)
-    return M.predict(M.fit_logistic(rows), rows).select("LogID", "predicted_anomaly")
+    _, rows, model = _deleting(spark, sf)
+    return M.predict(model, rows).select("LogID", "predicted_anomaly")
 
 
 @register(
@@ -151,8 +162,8 @@ def m2(spark, sf):
   ("HTTP_Method" = 'DELETE')::INTEGER AS weak_predicted_anomaly FROM clog_dense""",
 )
 def m5(spark, sf):
-    rows = _deleting(spark, sf)
-    models = {"strong": M.fit_logistic(rows), "weak": M.fit_logistic(rows, c=0.1)}
+    _, rows, strong = _deleting(spark, sf)
+    models = {"strong": strong, "weak": _deleting(spark, sf, 0.1)[2]}
     return M.predict_with_models(models, rows, keep=("LogID",))
 
 
@@ -161,8 +172,7 @@ def m5(spark, sf):
     DENSE_SQL + """SELECT 'HTTP_Method_DELETE' AS feature FROM clog_dense WHERE "HTTP_Method" = 'DELETE' LIMIT 1""",
 )
 def m7(spark, sf):
-    rows = _deleting(spark, sf)
-    tables = [M.importances(M.fit_logistic(rows, c=c)) for c in (1.0, 0.1)]
+    tables = [M.importances(_deleting(spark, sf, c)[2]) for c in (1.0, 0.1)]
     return M.top_feature_union([M.top_features(t) for t in tables], 1)
 
 
@@ -177,3 +187,16 @@ def j1_period(spark, sf):
     files.write_run(run_b(log.withColumn("event_id", F.lit(0))).drop("run_id"), f"{folder}/results", "1")
     day = log.agg(F.to_date(F.min("Timestamp"))).first()[0]
     return load_report_base(spark, f"{folder}/archive", f"{folder}/results", day, day).select("LogID", "predicted_anomaly")
+
+
+@register(
+    "v6_scored_batch",
+    DENSE_SQL + """SELECT "LogID", ("HTTP_Method" = 'DELETE' AND NOT ("Role" IN ('Doctor', 'Nurse')
+  AND "Endpoint" IN ('/patient/appointments/confirm', '/patient/appointments/cancel')))::INTEGER AS predicted_anomaly FROM clog_dense""",
+)
+def v6_batch(spark, sf):
+    """A whole batch from training to stored results, labelled by what the features say."""
+    folder = work_folder(spark)
+    encoders, _, model = _deleting(spark, sf)
+    score_batch(dense_log(spark, sf), default_rules(), encoders, model, f"{folder}/archive", f"{folder}/results", "1")
+    return spark.read.parquet(f"{folder}/results").select("LogID", "predicted_anomaly")
