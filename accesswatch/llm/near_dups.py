@@ -345,7 +345,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, similar_pct: int = 85, width: int = 5, shape: Signature | None = None, most: int = 256,
+    docs: DataFrame, similar_pct: int = 85, width: int = 5, shape: Signature | None = None, most: int = 1024,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
@@ -384,42 +384,44 @@ def near_duplicates(
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), text_or_empty(text).alias("text"))
     signs = classes.select("doc", "signature", "n_shingles", "set_id")
 
-    def links(grouped: DataFrame, labels: DataFrame | None, within: bool) -> DataFrame:
-        """``grouped`` has group, key, doc, block."""
-        full = grouped.join(signs.drop("set_id"), "doc")
+    def with_signature(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        rows = rows.join(signs.drop("set_id"), "doc")
         if labels is not None:
-            full = full.join(labels.select(F.col("doc"), F.col("component").alias("label")), "doc", "left")
-            full = full.withColumn("label", F.coalesce("label", "doc"))
-        else:
-            full = full.withColumn("label", F.col("doc"))
+            rows = rows.join(labels.select("doc", F.col("component").alias("label")), "doc", "left")
+        label = F.coalesce("label", "doc") if labels is not None else F.col("doc")
         number = F.shiftright("key", 8 * (shape.width - shape.errors)).alias("number")
-        full = full.select("group", "doc", number, "block", "label", "signature", "n_shingles")
-        pairs = cut(
-            full.repartition("group").sortWithinPartitions("group", "doc").mapInArrow(
-                _candidates(shape, similar_pct, within), _PAIRS
-            )
-        )
-        wanted = pairs.select("doc").distinct().join(signs.select("doc", "set_id"), "doc")
-        sets = _sets(texts.join(wanted, "doc"), width)
-        return (
-            pairs.join(sets, "doc").repartition("group").sortWithinPartitions("group", "doc")
-            .select("group", "doc", "partners", "shingles").mapInArrow(_confirmed(width, similar_pct), "a bigint, b bigint")
-        )
+        return rows.select("key", "doc", "block", number, label.alias("label"), "signature", "n_shingles")
 
-    inside = members.withColumn("group", F.concat_ws("-", "key", "block"))
-    found = cut(links(inside, None, True))
-    labels = components(found)
+    def candidates(grouped: DataFrame, within: bool) -> DataFrame:
+        rows = grouped.select("group", "doc", "number", "block", "label", "signature", "n_shingles")
+        compare = _candidates(shape, similar_pct, within)
+        return cut(rows.repartition("group").sortWithinPartitions("group", "doc").mapInArrow(compare, _PAIRS))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(sets, "doc").repartition("group").sortWithinPartitions("group", "doc")
+        confirm = _confirmed(width, similar_pct)
+        return cut(rows.select("group", "doc", "partners", "shingles").mapInArrow(confirm, "a bigint, b bigint"))
+
+    inside = candidates(with_signature(members, None).withColumn("group", F.concat_ws("-", "key", "block")), True)
     blocks = members.select("key", "block").distinct()
     large = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    blocks = cut(blocks.join(large, "key"))
+    of_large = cut(members.join(large, "key"))
+    # The sets of all documents that either step may compare, made once.
+    wanted = inside.select("doc").union(of_large.select("doc")).distinct().join(signs.select("doc", "set_id"), "doc")
+    sets = cut(_sets(texts.join(wanted, "doc"), width))
+    found = confirmed(inside)
+    labels = components(found)
+    # Keys of several blocks whose documents are not all joined yet: block against block.
+    held = cut(with_signature(of_large, labels))
+    undecided = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    blocks = cut(held.join(undecided.select("key"), "key").select("key", "block").distinct())
     if not blocks.isEmpty():
         other = blocks.select("key", F.col("block").alias("other"))
         both = blocks.join(other, "key").where("block < other").select(
             "key", F.concat_ws("-", "key", "block", "other").alias("group"), F.array("block", "other").alias("two")
         )
         halves = both.select("key", "group", F.explode("two").alias("block"))
-        across = members.join(halves, ["key", "block"]).select("group", "key", "doc", "block")
-        more = cut(links(across, labels, False))
+        more = confirmed(candidates(held.join(halves, ["key", "block"]), False))
         labels = components(found.unionByName(more))
     of_doc = (
         known.select("set_id", "doc").join(classes.select("set_id", F.col("doc").alias("first")), "set_id")
