@@ -77,14 +77,18 @@ def text_statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
 
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
-    """Each distinct (host, text) once: host, digest and its lines with a word as (hash, words).
+    """Each distinct (host, text) once: host, digest and its lines with a word as (hash, words, place in the text).
 
     A line is normalised to its words, so blanks around and between them do not matter.
     """
     text = text_or_empty()
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORD))
+    placed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("text"), i.alias("place")))
+    own = F.transform(
+        F.filter(placed, lambda x: x["text"].rlike(_WORD)),
+        lambda x: F.struct(words_of(x["text"]).alias("w"), x["place"].alias("place")),
+    )
     entry = F.transform(
-        F.transform(lines, words_of), lambda w: F.struct(F.xxhash64(w).alias("line"), F.size(w).alias("words"))
+        own, lambda x: F.struct(F.xxhash64(x["w"]).alias("line"), F.size(x["w"]).alias("words"), x["place"].alias("place"))
     )
     return docs.select(
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_digest().alias("digest"),
@@ -100,15 +104,31 @@ def frequent_lines(texts: DataFrame, min_docs: int, share_pct: int) -> DataFrame
     return count.join(total, "host").where(100 * F.col("n") > share_pct * F.col("texts")).select("host", "line")
 
 
+def _without(text: Column, places: Column) -> Column:
+    """``text`` without its lines at these sorted places; a null array leaves it as it is."""
+
+    def joined(b: Column) -> Column:
+        lines, gone = b["lines"], b["gone"]
+        ends = F.concat(gone, F.array(F.size(lines)))
+        runs = F.transform(
+            ends, lambda end, k: _let(F.coalesce(F.get(gone, k - 1) + 1, F.lit(0)), lambda s: F.slice(lines, s + 1, end - s))
+        )
+        return F.array_join(F.flatten(runs), "\n")
+
+    both = F.struct(F.split(text, "\n").alias("lines"), places.alias("gone"))
+    return F.when(places.isNull(), text).otherwise(_let(both, joined))
+
+
 def judge_documents(
     docs: DataFrame, keep: list[str], host: str = "source", min_docs: int = 50, share_pct: int = 20,
     min_words: int = 10, max_repeat_pct: int = 20, min_left_pct: int = 30,
 ) -> DataFrame:
-    """Columns ``keep`` with the statistics, ``n_left_words``, ``base_failed`` and ``kept``, one row per row.
+    """Columns ``keep`` with the statistics, ``n_left_words``, ``left_text``, ``base_failed`` and ``kept``, one row per row.
 
     Normalised lines are hashed and counted once per distinct text of a host, so exact copies, which
     deduplication removes, do not make each other's lines frequent. A line above both limits is removed
-    from the host's documents. A document is rejected if the base rules fail, or if lines were
+    from the host's documents: ``left_text`` is the text without such lines, ``n_left_words`` counts its
+    words; the statistics and base rules are those of the whole text. A document is rejected if the base rules fail, or if lines were
     removed and fewer than ``min_words`` words or ``min_left_pct`` % of them are left.
 
     Null and empty texts have no words and fail the base rules. A null host is a host of its own, the
@@ -118,22 +138,26 @@ def judge_documents(
     texts = cut(host_lines(docs, host))
     removed = (
         texts.select("host", "digest", F.explode("lines").alias("l"))
-        .select("host", "digest", F.col("l.line").alias("line"), F.col("l.words").alias("words"))
+        .select("host", "digest", "l.*")
         .join(frequent_lines(texts, min_docs, share_pct), ["host", "line"])
-        .groupBy("host", "digest").agg(F.sum("words").alias("removed"))
+        .groupBy("host", "digest").agg(
+            F.sum("words").alias("removed"), F.sort_array(F.collect_list("place")).alias("places")
+        )
     )
     base = text_statistics(
         docs,
         [F.struct(*keep).alias("row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
-         text_digest().alias("digest")],
+         text_digest().alias("digest"), F.col("text").cast("string").alias("_text")],
     )
     n, left = F.col("n_words"), F.col("n_words") - F.coalesce(F.col("removed"), F.lit(0))
     failed = (n < min_words) | (100 * F.col("n_repeat_words").cast("long") > max_repeat_pct * n.cast("long"))
     depleted = F.col("removed").isNotNull() & ((left < min_words) | (100 * left < min_left_pct * n))
-    return base.join(removed, ["host", "digest"], "left").select(
+    joined = base.join(removed, ["host", "digest"], "left")
+    return joined.withColumn("left_text", _without(F.col("_text"), F.col("places"))).select(
         "row.*",
         *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         left.cast("long").alias("n_left_words"),
+        "left_text",
         failed.alias("base_failed"),
         (~failed & ~depleted).alias("kept"),
     )

@@ -107,7 +107,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_line_frequency", LINE_FREQUENCY_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_documents(table(spark, sf_dir, "documents"), ["doc_id"]).drop("n_left_words")
+    return judge_documents(table(spark, sf_dir, "documents"), ["doc_id"]).drop("n_left_words", "left_text")
 
 
 @register("op7_unigram_language")

@@ -22,21 +22,30 @@ def _carried(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("_row"), *names)
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules do not reject."""
-    return judge_documents(_carried(docs, "text", "source"), ["_row"]).where("kept").select("_row.*")
+def _without_text(docs: DataFrame, *names: str) -> DataFrame:
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), *names)
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that other documents repeat; ``n_chars`` follows the text."""
-    rest = [c for c in docs.columns if c != "text"]
-    kept = deduplicated(docs.select(F.struct(*rest).alias("_row"), "doc_id", "text")).select("_row", "text")
+def _with_text(kept: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` out of ``_row`` and a new ``text``, which ``n_chars`` follows."""
     length = F.length("text").cast("long").alias("n_chars")
     return kept.select(
-        *[F.col("text") if c == "text" else length if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+        *[F.col("text") if c == "text" else length if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in columns]
     )
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules do not reject, without the lines above the limits of their host."""
+    judged = judge_documents(_without_text(docs, "text", "source"), ["_row"]).where("kept")
+    return _with_text(judged.select("_row", F.col("left_text").alias("text")), docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that other documents repeat; ``n_chars`` follows the text."""
+    kept = deduplicated(_without_text(docs, "doc_id", "text")).select("_row", "text")
+    return _with_text(kept, docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of rows that share a document id, one. Null ids all stay."""
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()

@@ -99,6 +99,26 @@ def test_frequent_lines_deplete_documents(spark):
     assert found[0].n_left_words == 4 and not found[0].base_failed
 
 
+@pytest.fixture(scope="module")
+def menus(spark):
+    """With the production limits: on host h 60 of 200 texts have a short menu line, on host few 50 of 60."""
+    menu = "Home  About Contact"
+    rows = [(i, f"{menu}\n{prose(9, i)}", "en", "h", 0) for i in range(30)]
+    rows += [(i, f"\n Home About\tContact \n\n{prose(40, i)}\n{menu}\n{menu}\n", "en", "h", 0) for i in range(30, 60)]
+    rows += [(i, f"{prose(40, i)}\nHome {i}\n", "en", "h", 0) for i in range(60, 200)]
+    rows += [(i, f"{menu}\n{prose(40, i)}", "en", "few", 0) for i in range(200, 250)]
+    rows += [(i, prose(40, i), "en", "few", 0) for i in range(250, 260)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_stage_removes_frequent_host_lines(spark, menus, sf_small):
+    found = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, menus, sf_small).collect()}
+    want = {r.doc_id: r.text for r in menus.collect() if r.doc_id >= 30}
+    want |= {i: f"\n\n{prose(40, i)}\n" for i in range(30, 60)}
+    assert {i: r.text for i, r in found.items()} == want
+    assert all(r.n_chars == len(r.text) for r in found.values())
+
+
 # --- line deduplication --------------------------------------------------------------
 
 
