@@ -57,6 +57,24 @@ def test_sessions_equal_the_batch_islands(spark, tmp_path):
     assert sorted(map(tuple, sessions.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect())) != []
 
 
+def test_written_and_open_windows_are_all_windows(spark, tmp_path):
+    """After each of two runs: the second goes on with what the first left open, and leaves the last open again."""
+    user = [(f"{run}{i}", i % 2, at(7200 * run + 4 * (i // 2)), "DELETE", "/login/attempts/5") for run in (0, 1) for i in range(8)]
+    figures = {
+        "hours": (monitor.figures_per_hour, ["window_start"], (0, 1), (1, 1)),
+        "rates": (monitor.sliding_request_rate, ["UserID", "window_start"], (0, 10), (10, 10)),
+        "sessions": (monitor.failed_attempt_sessions, ["UserID", "started"], (0, 2), (2, 2)),
+    }
+    for name, (figure, keys, *counts) in figures.items():
+        folder, out = str(tmp_path / f"{name}-in"), tmp_path / name
+        for rows, count in zip((user[:8], user[8:]), counts, strict=True):
+            written = finish(spark, figure(feed(spark, folder, [rows])), out)
+            everything = figure(spark.read.parquet(folder))
+            left = monitor.still_open(everything, written, keys)
+            assert (written.count(), left.count()) == count, name
+            assert sorted(map(tuple, written.unionByName(left).collect())) == sorted(map(tuple, everything.collect()))
+
+
 def test_rates_go_on_across_batches(spark, tmp_path):
     rows = [(f"{i:03d}", i % 3, at(7 * i), "PUT", "/inventory/items/4000") for i in range(200)]
     cuts = [rows[:50], rows[50:51], rows[51:140], rows[140:]]
