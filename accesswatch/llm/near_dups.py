@@ -26,13 +26,12 @@ class Signature:
     share a key: all pairs under that distance are found. A symbol of two sets of Jaccard similarity s
     differs with a probability of about 1 - s.
 
-    The shape of production (12 chunks of 6, one error) finds all pairs that differ in up to 23 of 72 symbols; of pairs at
-    s = 0.85 beyond that distance, all but 2e-8 share a key too. ``most`` is a distance above which a pair that shares
-    a key isn't confirmed any more; at s = 0.85 it is passed by 1e-6 of the pairs.
+    The shape of production (12 chunks of 6, one error) finds all pairs that differ in up to 23 of 72 symbols; at
+    s = 0.85 all but 2e-8 of the pairs share a key. Whatever its distance, a pair that shares one is confirmed.
     """
 
-    def __init__(self, chunks: int = 12, width: int = 6, errors: int = 1, most: int = 28):
-        self.chunks, self.width, self.errors, self.most = chunks, width, errors, most
+    def __init__(self, chunks: int = 12, width: int = 6, errors: int = 1):
+        self.chunks, self.width, self.errors = chunks, width, errors
         self.size = chunks * width
         self.choices = list(combinations(range(width), width - errors))
         rng = np.random.default_rng(20240101)
@@ -259,8 +258,8 @@ def _candidates(shape: Signature, similar_pct: int, within: bool):
                 a, b = a[ok], b[ok]
                 for i in range(0, len(a), 20_000):
                     x, y = a[i : i + 20_000], b[i : i + 20_000]
-                    distance, shared = shape.first_shared(signature[x], signature[y])
-                    ok = (distance <= shape.most) & (shared == number[x])
+                    _, shared = shape.first_shared(signature[x], signature[y])
+                    ok = shared == number[x]
                     if ok.any():
                         pairs.append((x[ok], y[ok]))
             if not pairs:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +250,17 @@ def test_pairs_below_the_distance_share_a_key():
     assert [int(np.flatnonzero(x == y)[0]) for x, y in zip(ka, kb)] == first.tolist()
 
 
+def test_pairs_that_share_a_key_are_confirmed_at_any_distance():
+    shape = near_dups.Signature()
+    a = np.zeros(shape.size, np.uint8)
+    b = a.copy()
+    b[shape.width + 1 :] = 1
+    columns = {"group": ["g"] * 2, "doc": [1, 2], "n_shingles": [50, 50], "number": [0, 0], "block": [0, 0], "label": [1, 2]}
+    batch = pa.RecordBatch.from_pydict(columns | {"signature": [a.tobytes(), b.tobytes()]})
+    found = pa.Table.from_batches(near_dups._candidates(shape, 85, True)(iter([batch]))).to_pydict()
+    assert found == {"group": ["g", "g"], "doc": [1, 2], "partners": [[2], []]}
+
+
 def test_signatures_estimate_similarity():
     shape, differ = near_dups.Signature(), []
     for i in range(200):
