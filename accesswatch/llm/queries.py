@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accesswatch.llm.common import cut, table, text_digest, text_or_empty
+from accesswatch.llm.conversations import repair_plans
 from accesswatch.llm.decontaminate import find_contamination
 from accesswatch.llm.html_text import extract, fit_weights
 from accesswatch.llm.language import fit_language, identify
@@ -18,7 +19,7 @@ from accesswatch.llm.near_dups import near_duplicates
 from accesswatch.llm.packing import pack
 from accesswatch.llm.quality_classifier import fit_quality, quality_score
 from accesswatch.llm.registry import QUERIES, SQL, register  # noqa: F401
-from accesswatch.llm.sql import DECONTAMINATION_SQL, LINE_DEDUP_SQL, LINE_FREQUENCY_SQL, NEAR_DUPS_SQL, URL_FILTER_SQL
+from accesswatch.llm.sql import CONVERSATIONS_SQL, DECONTAMINATION_SQL, LINE_DEDUP_SQL, LINE_FREQUENCY_SQL, NEAR_DUPS_SQL, URL_FILTER_SQL
 from accesswatch.llm.token_rollups import Rollup, deleted, inserted, revised
 from accesswatch.llm.tokens import token_count
 from accesswatch.llm.url_filter import filter_urls
@@ -133,3 +134,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_near_duplicates", NEAR_DUPS_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op13_conversation_repair", CONVERSATIONS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs of conversations that were damaged by the checksum of each row's id."""
+    space = F.lit(" ")
+    given = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"),
+        (F.crc32(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]).cast("binary")) % 20).alias("code"),
+    )
+    damaged = given.select(
+        "conv_id", "turn", F.when(F.col("code") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        (F.col("code") == 0).alias("dropped"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("code") == 3, 2).otherwise(1))).alias("_"),
+    )
+    return repair_plans(damaged, absent=F.col("dropped"))

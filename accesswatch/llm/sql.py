@@ -121,3 +121,58 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+CONVERSATIONS_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS id FROM conversations
+), coded AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(id, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))),
+    4294967295) % 20 AS code FROM given
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, range(2) AS copies(k) WHERE code <> 0 AND (k = 0 OR code = 3)
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS stripped FROM damaged
+), judged AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before,
+    CASE WHEN stripped = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+      WHEN right(stripped, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM ordered
+), faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (n > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS total FROM judged GROUP BY conv_id
+), inserts(q, p, cost, letters, added) AS (
+  VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']),
+    (2, 3, 3, 'I', ['assistant:']), (3, 2, 3, 'I', ['user:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])
+), keeps(initial, q, p) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)
+), relabels(q, p, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')
+), edits AS (
+  SELECT conv_id, n, 'D' AS letter, q, q AS p, 4 AS cost, [] AS said FROM judged, range(4) AS states(q)
+  UNION ALL SELECT conv_id, n, 'K', q, p, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, [role || ':' || text]
+  FROM judged JOIN keeps USING (initial) WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT conv_id, n, 'R', q, p, 3 + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, [r.role || ':' || text]
+  FROM judged, relabels AS r WHERE fault NOT IN ('blank', 'duplicate')
+), moves AS (
+  SELECT conv_id, n, i.q, e.p, i.cost + e.cost AS cost, i.letters || e.letter AS letters, i.added || e.said AS said
+  FROM edits AS e JOIN inserts AS i ON i.p = e.q
+), paths AS (
+  SELECT conv_id, 0::BIGINT AS n, 0 AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS said FROM faults
+  UNION ALL
+  SELECT conv_id, n, q, b.cost, b.audit, b.said FROM (
+    SELECT p.conv_id, m.n, m.p AS q, min({'cost': p.cost + m.cost, 'audit': p.audit || m.letters, 'said': p.said || m.said}) AS b
+    FROM paths AS p JOIN moves AS m ON p.conv_id IS NOT DISTINCT FROM m.conv_id AND m.n = p.n + 1 AND m.q = p.q GROUP BY ALL)
+), ended AS (
+  SELECT f.conv_id, min({'cost': p.cost + i.cost, 'audit': p.audit || i.letters, 'said': p.said || i.added}) AS b
+  FROM faults AS f JOIN paths AS p ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND p.n = f.total
+    JOIN inserts AS i ON i.q = p.q AND i.p IN (0, 3) GROUP BY f.conv_id
+)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost,
+  coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS g LEFT JOIN faults AS f ON g.conv_id IS NOT DISTINCT FROM f.conv_id
+  LEFT JOIN ended AS e ON g.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
