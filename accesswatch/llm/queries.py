@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from accesswatch.llm.common import cut, table, text_digest, text_or_empty
 from accesswatch.llm.conversations import repair_plans
 from accesswatch.llm.decontaminate import find_contamination
+from accesswatch.llm.embedding_dups import near_vectors
 from accesswatch.llm.html_text import extract, fit_weights
 from accesswatch.llm.language import fit_language, identify
 from accesswatch.llm.line_dedup import deduplicated
@@ -19,7 +20,15 @@ from accesswatch.llm.near_dups import near_duplicates
 from accesswatch.llm.packing import pack
 from accesswatch.llm.quality_classifier import fit_quality, quality_score
 from accesswatch.llm.registry import QUERIES, SQL, register  # noqa: F401
-from accesswatch.llm.sql import CONVERSATIONS_SQL, DECONTAMINATION_SQL, LINE_DEDUP_SQL, LINE_FREQUENCY_SQL, NEAR_DUPS_SQL, URL_FILTER_SQL
+from accesswatch.llm.sql import (
+    CONVERSATIONS_SQL,
+    DECONTAMINATION_SQL,
+    EMBEDDINGS_SQL,
+    LINE_DEDUP_SQL,
+    LINE_FREQUENCY_SQL,
+    NEAR_DUPS_SQL,
+    URL_FILTER_SQL,
+)
 from accesswatch.llm.token_rollups import Rollup, deleted, inserted, revised
 from accesswatch.llm.tokens import token_count
 from accesswatch.llm.url_filter import filter_urls
@@ -136,6 +145,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op12_embedding_near_duplicates", EMBEDDINGS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @register("op13_conversation_repair", CONVERSATIONS_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repairs of conversations that were damaged by the checksum of each row's id."""

@@ -176,3 +176,20 @@ SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) AS g LEFT JOIN faults AS f ON g.conv_id IS NOT DISTINCT FROM f.conv_id
   LEFT JOIN ended AS e ON g.conv_id IS NOT DISTINCT FROM e.conv_id
 """
+
+EMBEDDINGS_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x,
+    coalesce(label IS NOT NULL AND vec_id IS NOT NULL AND list_max(list_transform(embedding, lambda y: abs(y))) > 0
+      AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0, false) AS links FROM embeddings
+), pairs AS (
+  SELECT a.r AS p, b.r AS q, a.vec_id AS x, b.vec_id AS y
+  FROM (SELECT * FROM v WHERE links) AS a JOIN (SELECT * FROM v WHERE links) AS b
+    ON a.label = b.label AND a.r <> b.r AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98
+), n AS (SELECT p AS r, count(*) AS n FROM pairs GROUP BY p
+), reach(x, y) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT reach.x, pairs.y FROM reach JOIN pairs ON reach.y = pairs.x
+), least AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v LEFT JOIN least USING (vec_id) LEFT JOIN n USING (r)
+"""
