@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accesswatch.llm.alignment import align
 from accesswatch.llm.common import cut, table, text_digest, text_or_empty
 from accesswatch.llm.conversations import repair_plans
 from accesswatch.llm.decontaminate import find_contamination
@@ -145,6 +146,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align(table(spark, sf_dir, "documents"), a, b)
+
+
 @register("op12_embedding_near_duplicates", EMBEDDINGS_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
