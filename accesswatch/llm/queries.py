@@ -30,8 +30,7 @@ from accesswatch.llm.sql import (
     NEAR_DUPS_SQL,
     URL_FILTER_SQL,
 )
-from accesswatch.llm.token_rollups import Rollup, deleted, inserted, revised
-from accesswatch.llm.tokens import token_count
+from accesswatch.llm.token_rollups import Rollup, counted, deleted, inserted, revised
 from accesswatch.llm.url_filter import filter_urls
 from accesswatch.session import checkpoint_dir
 
@@ -73,31 +72,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents; copies of a text, but for its smallest document, deleted; texts with
     repeated lines counted anew without them; and the deletes sent once more, which must change nothing."""
-    text = text_or_empty()
-    once = F.array_join(F.array_distinct(F.split(text, "\n")), "\n")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", text.alias("text"), once.alias("once"))
-    vocabularies = {
-        "byte_bpe_50k": public_tokenizers.path("byte_bpe_50k.json"),
-        "byte_bpe_multi_50k": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
-    }
-    changed = F.when(F.col("once") != F.col("text"), F.col("once"))
-    counts = [
-        F.struct(
-            F.lit(version).alias("version"), token_count(F.col("text"), path, public_tokenizers.PATTERN).alias("tokens"),
-            token_count(changed, path, public_tokenizers.PATTERN).alias("new_tokens"),
-        )
-        for version, path in vocabularies.items()
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", text_digest().alias("digest"), F.length(text_or_empty()).cast("long").alias("chars"), "text"
+    )
+    versions = ["byte_bpe_50k", "byte_bpe_multi_50k"]
+    files = [public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")]
+    known = cut(counted(docs, files, public_tokenizers.PATTERN))
+    first = known.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    each = [
+        F.struct(F.lit(v).alias("version"), F.col("tokens")[i].alias("tokens"), F.col("new_tokens")[i].alias("new_tokens"))
+        for i, v in enumerate(versions)
     ]
-    counted = cut(
-        docs.select(
-            "doc_id", "source", "lang", text_digest().alias("digest"), F.length("text").cast("long").alias("chars"),
-            F.length(changed).cast("long").alias("new_chars"), F.array(*counts).alias("counts"),
-        )
+    marked = known.join(first, "digest").select(
+        "source", "lang", "chars", "new_chars", (F.col("doc_id") != F.col("first")).alias("copy"), F.inline(F.array(*each))
     )
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    marked = counted.join(first, "digest").select(
-        "source", "lang", "chars", "new_chars", (F.col("doc_id") != F.col("first")).alias("copy"), F.explode("counts").alias("c")
-    ).select("source", "lang", "chars", "new_chars", "copy", "c.*")
     old = marked.select("source", "lang", "version", "tokens", "chars")
     stale = marked.where(~F.col("copy") & F.col("new_tokens").isNotNull())
     again = stale.select("source", "lang", "version", F.col("new_tokens").alias("tokens"), F.col("new_chars").alias("chars"))

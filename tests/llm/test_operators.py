@@ -17,7 +17,7 @@ from accesswatch.llm import decontaminate, html_text, language, line_dedup, near
 from accesswatch.llm.components import components
 from accesswatch.llm.line_frequency import judge_documents
 from accesswatch.llm.queries import QUERIES, SQL
-from accesswatch.llm.token_rollups import Rollup, deleted, inserted, revised
+from accesswatch.llm.token_rollups import Rollup, counted, deleted, inserted, revised
 from accesswatch.llm.tokens import Encoder, token_count
 from accesswatch.llm.url_filter import Trie, filter_urls
 
@@ -432,19 +432,97 @@ def test_rollup_batches(spark, tmp_path):
         rollup.commit("../x", inserted(counts(a)))
 
 
-def test_rollup_query_against_brute_force(spark, sf_small):
+def plain_encoders():
+    """Both vocabularies over uncut texts."""
+    import base64
+
+    import tiktoken
     from tokenizers import Tokenizer
 
-    plain, seen, want = Tokenizer.from_file(JSON), set(), defaultdict(lambda: [0, 0, 0])
-    for r in spark.read.parquet(f"{sf_small}/documents.parquet").orderBy("doc_id").collect():
-        if r.text not in seen:
-            seen.add(r.text)
-            once = "\n".join(dict.fromkeys(r.text.split("\n")))
-            own = want[r.source, r.lang]
-            for i, n in enumerate((1, len(plain.encode(once, add_special_tokens=False).ids), len(once))):
-                own[i] += n
-    found = QUERIES["op4_token_rollups"](spark, sf_small).where("version = 'byte_bpe_50k'").collect()
-    assert {(r.source, r.lang): [r.n_docs, r.n_tokens, r.n_chars] for r in found} == dict(want)
+    own = Tokenizer.from_file(JSON)
+    with open(MULTI, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    multi = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return {"byte_bpe_50k": lambda t: own.encode(t, add_special_tokens=False).ids, "byte_bpe_multi_50k": multi.encode_ordinary}
+
+
+def test_counted_texts(spark, odd, none):
+    """Both vocabularies, whole texts and texts without repeated lines, with columns of any name passing through."""
+    plain = list(plain_encoders().values())
+    rows = counted(odd.withColumn("_row", F.lit(1)), [JSON, MULTI], public_tokenizers.PATTERN).drop("text")
+    assert {"row", "_row", "digest", "words"} <= set(rows.columns)
+    found = Counter((r.doc_id, tuple(r.tokens), r.new_chars, r.new_tokens and tuple(r.new_tokens)) for r in rows.collect())
+    want = Counter()
+    for i, text in texts_of(odd):
+        text = text or ""
+        once = "\n".join(dict.fromkeys(text.split("\n")))
+        new = (len(once), tuple(len(e(once)) for e in plain)) if once != text else (None, None)
+        want[i, tuple(len(e(text)) for e in plain), *new] += 1
+    assert found == want
+    assert counted(none, [JSON], None).count() == 0
+
+
+def test_small_memory_counts_the_same(monkeypatch):
+    from accesswatch.llm.token_rollups import TokenCounter
+
+    plain, counter = plain_encoders()["byte_bpe_50k"], TokenCounter([JSON], None, most=50)
+    for seed in range(20):
+        text = prose(30, seed) + ", x!!\n" + prose(5, seed)
+        cut = counter.cut(text)
+        counter.learn([cut])
+        assert counter.count(cut) == [len(plain(text))]
+
+
+def test_compaction_and_writers_at_once(spark, tmp_path, monkeypatch):
+    """A batch that comes between the two looks of a compaction, and two writers of one batch, count once each."""
+    counts = spark.createDataFrame([("s", "en", "v", 10, 40)], "source string, lang string, version string, tokens bigint, chars bigint")
+    rollup, other = (Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    rollup.commit("one", inserted(counts))
+    look, raced = rollup._fresh, []
+
+    def late(folder):
+        fresh = look(folder)
+        if not raced:
+            raced.append(other.commit("two", inserted(counts)))
+        return fresh
+
+    monkeypatch.setattr(rollup, "_fresh", late)
+    assert rollup.compact() and raced == [True]
+    monkeypatch.undo()
+    rows = lambda: [tuple(r) for r in rollup.totals().collect()]
+    assert rows() == [("s", "en", "v", 2, 20, 80)] and rollup.committed() == ["one", "two"]
+    # Two writers that both found no marker: the first keeps its rows, the other adds none.
+    monkeypatch.setattr(Rollup, "has", lambda self, batch: False)
+    assert rollup.commit("three", inserted(counts)) and not other.commit("three", inserted(counts).unionByName(inserted(counts)))
+    assert rows() == [("s", "en", "v", 3, 30, 120)]
+    monkeypatch.undo()
+    # Two compactions from one snapshot: the second changes nothing; covered batches stay refused without their markers.
+    number = rollup._snapshot()
+    assert rollup.compact()
+    monkeypatch.setattr(other, "_snapshot", lambda: number)
+    assert not other.compact()
+    monkeypatch.undo()
+    assert rows() == [("s", "en", "v", 3, 30, 120)] and not rollup.commit("one", inserted(counts))
+    assert rollup._names("commits") == [] and rollup.committed() == ["one", "three", "two"]
+    # A marker of a covered batch, left by a writer that was late, counts for nothing.
+    inserted(counts).write.parquet(str(tmp_path / "late"))
+    rollup._mark("commits", "one", "late")
+    assert rows() == [("s", "en", "v", 3, 30, 120)]
+
+
+def test_rollup_query_against_brute_force(spark, sf_small):
+    want = defaultdict(lambda: [0, 0, 0])
+    for version, plain in plain_encoders().items():
+        seen = set()
+        for r in spark.read.parquet(f"{sf_small}/documents.parquet").orderBy("doc_id").collect():
+            if r.text not in seen:
+                seen.add(r.text)
+                once = "\n".join(dict.fromkeys(r.text.split("\n")))
+                own = want[r.source, r.lang, version]
+                for i, n in enumerate((1, len(plain(once)), len(once))):
+                    own[i] += n
+    found = QUERIES["op4_token_rollups"](spark, sf_small).collect()
+    assert {(r.source, r.lang, r.version): [r.n_docs, r.n_tokens, r.n_chars] for r in found} == dict(want)
 
 
 # --- urls ----------------------------------------------------------------------------
