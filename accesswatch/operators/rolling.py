@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MICROS = 1_000_000
+from accesswatch.operators.levels import LARGE, MICROS, SMALL, totals_before
 
 
 @dataclass(frozen=True)
@@ -52,18 +52,14 @@ def trailing_counts_window(df: DataFrame, keys: list[str], ts: str, specs: list[
 
 
 def instant_counts(
-    df: DataFrame, keys: list[str], ts: str, specs: list[TrailingCount], bucket_seconds: int | None = None
+    df: DataFrame, keys: list[str], ts: str, specs: list[TrailingCount], bucket_seconds: float = SMALL
 ) -> DataFrame:
     """Trailing counts per distinct (key, instant), where any is above zero.
 
-    Rows first collapse to one per instant (combined before the shuffle). Each
-    instant then enters a running sum and leaves it again ``w`` later; the sum
-    runs inside (key, time bucket), and an instant still inside its window when
-    the bucket ends enters the next bucket at its start. A task therefore never
-    holds more than the instants of one bucket, however many rows a key has.
+    Rows first collapse to one per instant (combined before the shuffle). Each instant then enters a running sum and
+    leaves it again ``w`` later; the sum runs in levels of buckets (``levels.totals_before``), the smallest of which
+    may be far shorter than a window. A task holds the instants of one small bucket, however many rows a key has.
     """
-    longest = max(s.seconds for s in specs)
-    bucket = max(longest, bucket_seconds or 6 * longest) * MICROS
     n = range(len(specs))
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col(ts).isNotNull())
@@ -73,39 +69,26 @@ def instant_counts(
         .agg(*[F.sum(_flag(s.events)).alias(f"_n{i}") for i, s in enumerate(specs)])
     )
 
-    def edge(bucket_no: Column, at: Column, order: int, deltas: list[Column]) -> Column:
-        return F.struct(
-            bucket_no.alias("b"), at.alias("at"), F.lit(order).alias("o"),
-            *[d.alias(f"d{i}") for i, d in enumerate(deltas)],
-        )
+    def edge(at: Column, order: int, deltas: list[Column]) -> Column:
+        return F.struct(at.alias("at"), F.lit(order).alias("o"), *[d.alias(f"_d{i}") for i, d in enumerate(deltas)])
 
     zero = F.lit(0).cast("bigint")
-    b = F.floor(F.col("_t") / F.lit(bucket)).cast("bigint")
-    start_next = (b + 1) * F.lit(bucket)
-    # Order within an instant: carried entries, the instant itself, departures.
-    edges = [edge(b, F.col("_t"), 0, [F.col(f"_n{i}") for i in n])]
+    # An instant is counted before it counts itself; a row exactly a window old still counts, so departures come last.
+    edges = [edge(F.col("_t"), 0, [F.col(f"_n{i}") for i in n])]
     for i, spec in enumerate(specs):
-        out_at = F.col("_t") + F.lit(spec.seconds * MICROS)
         size = F.col(f"_n{i}")
-        stays = out_at >= start_next
-        minus = [-size if j == i else zero for j in n]
-        plus = [size if j == i else zero for j in n]
-        edges.append(F.when(size > 0, edge(F.when(stays, b + 1).otherwise(b), out_at, 1, minus)))
-        edges.append(F.when((size > 0) & stays, edge(b + 1, start_next, -1, plus)))
-    swept = instants.select(*keys, F.explode(F.array(*edges)).alias("e")).where("e is not null")
-    swept = swept.select(*keys, "e.*")
-    before = Window.partitionBy(*keys, "b").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, -1)
-    sums = {f"_c{i}": F.coalesce(F.sum(f"d{i}").over(before), zero) for i in n}
-    some = reduce(lambda a, c: a | c, [F.col(f"_c{i}") > 0 for i in n])
-    return (
-        swept.withColumns(sums)
-        .where((F.col("o") == 0) & some)
-        .select(*keys, F.col("at").alias("_t"), *[F.col(f"_c{i}").alias(s.name) for i, s in enumerate(specs)])
+        leaves = edge(F.col("_t") + F.lit(spec.seconds * MICROS), 1, [-size if j == i else zero for j in n])
+        edges.append(F.when(size > 0, leaves))
+    swept = instants.select(*keys, F.explode(F.array(*edges)).alias("e")).where("e is not null").select(*keys, "e.*")
+    counted = totals_before(swept, keys, [f"_d{i}" for i in n], bucket_seconds, max(LARGE, 60 * bucket_seconds))
+    some = reduce(lambda a, c: a | c, [F.col(f"_d{i}") > 0 for i in n])
+    return counted.where((F.col("o") == 0) & some).select(
+        *keys, F.col("at").alias("_t"), *[F.col(f"_d{i}").alias(s.name) for i, s in enumerate(specs)]
     )
 
 
 def trailing_counts(
-    df: DataFrame, keys: list[str], ts: str, specs: list[TrailingCount], bucket_seconds: int | None = None
+    df: DataFrame, keys: list[str], ts: str, specs: list[TrailingCount], bucket_seconds: float = SMALL
 ) -> DataFrame:
     """Add one column per spec to every row; no row is dropped or repeated.
 

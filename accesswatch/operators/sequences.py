@@ -1,12 +1,11 @@
-"""Runs of neighbouring rows per key, scanned in (key, time bucket) tasks."""
+"""Runs and patterns of neighbouring rows per key, scanned in (key, time bucket) tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MICROS = 1_000_000
-BUCKET_SECONDS = 3600
+from accesswatch.operators.levels import LARGE, MICROS, SMALL, runs_of
 
 
 def sequence_runs(
@@ -15,63 +14,20 @@ def sequence_runs(
     ts: str,
     operation: str | None = None,
     max_gap_seconds: int | None = None,
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_seconds: float = SMALL,
 ) -> DataFrame:
     """Maximal runs of a key's rows: same operation, gaps within the limit.
 
-    Rows collapse to one step per (key, instant, operation) before the shuffle;
-    steps of one instant are ordered by the operation's name. Steps are joined
-    to pieces inside (key, time bucket). Only the first and the last piece of a
-    bucket can go on in a neighbour, so only these, at most two per bucket, are
-    scanned over the whole key. Columns: keys, the operation, ``n_events``,
-    ``started``, ``ended``, and ``closed`` where the next run starts.
+    Rows collapse to one step per (key, instant, operation) before the shuffle; steps of one instant are ordered by the
+    operation's name. Steps are joined in levels of time buckets (``levels.runs_of``), so a key with all its rows in
+    one hour is spread too. Columns: keys, the operation, ``n_events``, ``started``, ``ended``, and ``closed`` where
+    the next run starts.
     """
     op = F.col(operation) if operation else F.lit("")
-    steps = (
-        df.groupBy(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), op.alias("_op"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_seconds * MICROS)).cast("bigint"))
-    )
-
-    def goes_on(previous_op: Column, previous_t: Column, t: Column) -> Column:
-        same = previous_op.eqNullSafe(F.col("_op")) & previous_t.isNotNull()
-        return same if max_gap_seconds is None else same & (t - previous_t <= max_gap_seconds * MICROS)
-
-    scan = Window.partitionBy(*keys, "_b").orderBy("_t", "_op")
-    pieces = (
-        steps.withColumns({"_po": F.lag("_op").over(scan), "_pt": F.lag("_t").over(scan)})
-        .withColumn("_new", F.when(~goes_on(F.col("_po"), F.col("_pt"), F.col("_t")), F.col("_t")))
-        .withColumn("_start", F.last("_new", ignorenulls=True).over(scan))
-        .groupBy(*keys, "_b", "_op", "_start")
-        .agg(F.sum("_n").alias("_n"), F.max("_t").alias("_end"))
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy("_start", "_op")
-    pieces = pieces.withColumns(
-        {"_first": F.lag("_start").over(inside).isNull(), "_closed": F.lead("_start").over(inside)}
-    )
-    open_end = F.col("_closed").isNull()
-    inner = pieces.where(~F.col("_first") & ~open_end)
-
-    whole = Window.partitionBy(*keys).orderBy("_start", "_op")
-    edges = (
-        pieces.where(F.col("_first") | open_end)
-        .withColumns({"_po": F.lag("_op").over(whole), "_pe": F.lag("_end").over(whole)})
-        .withColumn("_joins", F.col("_first") & goes_on(F.col("_po"), F.col("_pe"), F.col("_start")))
-        .withColumns(
-            {
-                "_run": F.last(F.when(~F.col("_joins"), F.col("_start")), ignorenulls=True).over(whole),
-                "_next": F.lead("_start").over(whole),
-                "_next_joins": F.lead("_joins").over(whole),
-            }
-        )
-        .withColumn(
-            "_closed", F.coalesce(F.col("_closed"), F.when(~F.col("_next_joins"), F.col("_next")))
-        )
-        .groupBy(*keys, "_op", "_run")
-        .agg(F.sum("_n").alias("_n"), F.max("_end").alias("_end"), F.max("_closed").alias("_closed"))
-        .select(*keys, "_op", F.col("_run").alias("_start"), "_n", "_end", "_closed")
+    steps = df.groupBy(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_start"), op.alias("_op")).agg(
+        F.count(F.lit(1)).alias("_n")
     )
-    runs = inner.select(*keys, "_op", "_start", "_n", "_end", "_closed").unionByName(edges)
+    runs = runs_of(steps, keys, max_gap_seconds, bucket_seconds, max(LARGE, 60 * bucket_seconds))
     return runs.select(
         *keys,
         *([F.col("_op").alias(operation)] if operation else []),
@@ -84,7 +40,7 @@ def sequence_runs(
 
 def islands(
     df: DataFrame, keys: list[str], ts: str, max_gap_seconds: int, min_size: int,
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_seconds: float = SMALL,
 ) -> DataFrame:
     """Groups of at least ``min_size`` rows, neighbours at most the gap apart."""
     runs = sequence_runs(df, keys, ts, None, max_gap_seconds, bucket_seconds)

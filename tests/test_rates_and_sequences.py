@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from accesswatch.operators import detect
+from accesswatch.operators.levels import totals_before
 from accesswatch.operators.rolling import (
-    TrailingCount, add_request_rates, request_rate_specs, trailing_counts, trailing_counts_window,
+    TrailingCount, add_request_rates, instant_counts, request_rate_specs, trailing_counts, trailing_counts_window,
 )
 from accesswatch.operators.sequences import islands, operation_patterns, sequence_runs
 from accesswatch.sources.rules import default_rules
@@ -155,3 +156,55 @@ def test_rapid_changes_need_one_address(spark):
 def test_failed_attempts(spark):
     rows = [(str(i), 1, at(10 * i), "DELETE", "/login/attempts/5") for i in range(3)] + [("x", 1, at(31), "DELETE", "/login/attempts/5")]
     assert [r.n_events for r in detect.failed_attempt_bursts(log_rows(spark, rows)).collect()] == [3]
+
+
+@pytest.fixture()
+def one_user_one_hour(spark):
+    """All rows of one user, at 3000 instants of one hour, over 16 shuffle partitions that stay apart."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    rows = [(f"{i:05d}", 1, at(i * 1.2 + 1e-6 * (i % 7)), "PD"[(i // 5) % 2]) for i in range(3000)]
+    yield spark.createDataFrame(rows, "LogID string, UserID bigint, ts string, op string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def share_of_the_largest_task(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_rates_of_one_user_and_hour_spread(one_user_one_hour):
+    counts = instant_counts(one_user_one_hour, ["UserID"], "ts", [TrailingCount("n", 300)])
+    assert counts.count() == 2999 and share_of_the_largest_task(counts) < 0.25
+    full = trailing_counts(one_user_one_hour, ["UserID"], "ts", [TrailingCount("n", 300)])
+    frame = trailing_counts_window(one_user_one_hour, ["UserID"], "ts", [TrailingCount("n", 300)])
+    assert sorted((r.LogID, r.n) for r in full.collect()) == sorted((r.LogID, r.n) for r in frame.collect())
+
+
+def test_runs_of_one_user_and_hour_spread(one_user_one_hour):
+    """Runs shorter than a small bucket: all but the two at its ends are done there."""
+    runs = sequence_runs(one_user_one_hour, ["UserID"], "ts", "op", bucket_seconds=120)
+    assert share_of_the_largest_task(runs) < 0.35
+    assert sorted({r.n_events for r in runs.collect()}) == [5] and runs.count() == 600
+
+
+def test_one_run_over_days(spark):
+    """A run over many large buckets, with an hour's pause in it, is one; a longer pause cuts it."""
+    seconds = [i * 3600 for i in range(60)] + [59 * 3600 + 3601]
+    df = spark.createDataFrame([(1, T0 + timedelta(seconds=s)) for s in seconds], "k int, ts timestamp")
+    runs = sequence_runs(df, ["k"], "ts", None, 3600)
+    found = sorted((r.n_events, (r.ended - r.started).total_seconds(), r.closed) for r in runs.collect())
+    assert found[0] == (1, 0.0, None) and found[1][:2] == (60, 59 * 3600.0) and found[1][2] is not None
+
+
+@pytest.mark.parametrize("buckets", [(0.5, 3), (2, 40), (1000, 100000)])
+def test_totals_before_in_levels(spark, buckets):
+    draw = random.Random(8)
+    rows = [(draw.randint(1, 2), draw.randint(-50, 200) * 500_000, draw.randint(0, 1), draw.randint(-3, 5)) for _ in range(300)]
+    rows = sorted({r[:3]: r for r in rows}.values())
+    edges = spark.createDataFrame(rows, "k int, at bigint, o int, d bigint").withColumn("own", F.col("d"))
+    got = {(r.k, r.at, r.o): r.d for r in totals_before(edges, ["k"], ["d"], *buckets).collect()}
+    assert got == {(k, t, o): sum(d for q, u, p, d in rows if q == k and (u, p) < (t, o)) for k, t, o, _ in rows}
