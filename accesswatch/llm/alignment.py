@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -141,7 +142,7 @@ class Aligner:
     _single = re.compile(r"(?<=\S)(?= \S)")
     _after = re.compile(r"(?<=[^ ])(?= )")
 
-    def __init__(self, vocabulary: str, pieces: str, most: int = 64_000_000):
+    def __init__(self, vocabulary: str, pieces: str, most: int = 96_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -163,6 +164,8 @@ class Aligner:
             self._lines &= "\n" not in piece
         self.shift = 16 if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else 32
         self.kind = np.dtype("<u4" if self.shift == 16 else "<u8")
+        self._code = "I" if self.shift == 16 else "Q"
+        self._size_a, self._size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
         self._known: dict[str, tuple | None] = {}
         self._held, self._most = 0, most
 
@@ -202,27 +205,48 @@ class Aligner:
             out.append((i, start))
         return out
 
-    def packed(self, pairs: Iterable[tuple[int, int]]) -> bytes:
-        return np.array([p << self.shift | q for p, q in pairs], self.kind).tobytes()
+    def _unit(self, a: list[int], b: list[int]) -> tuple:
+        """Groups as text, numbers of tokens and groups, and links of a unit, which both tokenizers cover: its fragment, in one walk.
+
+        Each step of the walk is at one overlapping pair; where both tokens end together a group ends.
+        """
+        size_a, size_b, shift = self._size_a, self._size_b, self.shift
+        links, groups, i, j, from_i, from_j, last = [], [], 0, 0, 0, 0, len(a) - 1
+        p, q = a[0], b[0]
+        end_a, end_b = size_a[p], size_b[q]
+        while True:
+            links.append(p << shift | q)
+            if end_a == end_b:
+                if i == from_i and j == from_j:
+                    groups.append(f"{p}|{q}")
+                else:
+                    groups.append(f"{','.join(map(str, a[from_i : i + 1]))}|{','.join(map(str, b[from_j : j + 1]))}")
+                if i == last:
+                    return ";".join(groups), len(a), len(b), len(groups), array(self._code, links).tobytes()
+                i, j = i + 1, j + 1
+                from_i, from_j, p, q = i, j, a[i], b[j]
+                end_a += size_a[p]
+                end_b += size_b[q]
+            elif end_a < end_b:
+                i += 1
+                p = a[i]
+                end_a += size_a[p]
+            else:
+                j += 1
+                q = b[j]
+                end_b += size_b[q]
 
     def learn(self, wanted: Iterable[str]) -> dict[str, tuple | None]:
-        """What each unit holds: groups as text, numbers of tokens and groups, links; None if bytes differ."""
+        """What each unit holds (see ``_unit``); None if a tokenizer changes its bytes."""
         if self._held > self._most:
             self._known.clear()
             self._held = 0
         known = self._known
         new = [u for u in wanted if u not in known]
         for unit, (a, b) in zip(new, self.tokens(new)):
-            if not self.sound(unit, a, b):
-                known[unit] = None
-                continue
-            if len(a) == 1 == len(b):
-                links, groups, n = [(a[0], b[0])], f"{a[0]}|{b[0]}", 1
-            else:
-                whole = Fragment.of(self.ends(a, self.bytes_a), self.ends(b, self.bytes_b)).finish()
-                links, groups, n = whole.pairs.elements(), ";".join(whole.groups), whole.n_groups
-            known[unit] = (groups, len(a), len(b), n, self.packed(links))
-            self._held += 400 + 2 * len(unit) + len(groups) + len(known[unit][4])
+            known[unit] = found = self._unit(a, b) if self.sound(unit, a, b) else None
+            if found:
+                self._held += 400 + 2 * len(unit) + len(found[0]) + len(found[4])
         return known
 
     def document(self, units: list[str], known: dict) -> tuple | None:
