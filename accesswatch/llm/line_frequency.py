@@ -97,9 +97,9 @@ def host_lines(docs: DataFrame, host: str) -> DataFrame:
 
 
 def frequent_lines(texts: DataFrame, min_docs: int, share_pct: int) -> DataFrame:
-    """(host, line) of lines found in more than ``min_docs`` texts and ``share_pct`` % of the host's texts."""
+    """(host, line) of lines found in at least ``min_docs`` texts and in more than ``share_pct`` % of the host's texts."""
     each = texts.select("host", F.explode(F.array_distinct("lines.line")).alias("line"))
-    count = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+    count = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     total = texts.groupBy("host").agg(F.count("*").alias("texts"))
     return count.join(total, "host").where(100 * F.col("n") > share_pct * F.col("texts")).select("host", "line")
 
@@ -120,14 +120,14 @@ def _without(text: Column, places: Column) -> Column:
 
 
 def judge_documents(
-    docs: DataFrame, keep: list[str], host: str = "source", min_docs: int = 50, share_pct: int = 20,
+    docs: DataFrame, keep: list[str], host: str = "source", min_docs: int = 5, share_pct: int = 5,
     min_words: int = 10, max_repeat_pct: int = 20, min_left_pct: int = 30,
 ) -> DataFrame:
     """Columns ``keep`` with the statistics, ``n_left_words``, ``left_text``, ``base_failed`` and ``kept``, one row per row.
 
     Normalised lines are hashed and counted once per distinct text of a host, so exact copies, which
-    deduplication removes, do not make each other's lines frequent. A line above both limits is removed
-    from the host's documents: ``left_text`` is the text without such lines, ``n_left_words`` counts its
+    deduplication removes, do not make each other's lines frequent. A line in more than ``share_pct`` % of a host's
+    texts, and in ``min_docs`` at least, so that no line of a small host counts by itself, is removed from the host's documents: ``left_text`` is the text without such lines, ``n_left_words`` counts its
     words; the statistics and base rules are those of the whole text. A document is rejected if the base rules fail, or if lines were
     removed and fewer than ``min_words`` words or ``min_left_pct`` % of them are left.
 

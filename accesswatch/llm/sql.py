@@ -21,8 +21,8 @@ WITH d AS (
   FROM (SELECT host, t, unnest(lines) AS l FROM ht)
 ), often AS (
   SELECT host, line FROM hl GROUP BY host, line
-  HAVING count(DISTINCT t) > 50
-    AND 100 * count(DISTINCT t) > 20 * any_value((SELECT count(*) FROM ht AS o WHERE o.host = hl.host))
+  HAVING count(DISTINCT t) >= 5
+    AND 100 * count(DISTINCT t) > 5 * any_value((SELECT count(*) FROM ht AS o WHERE o.host = hl.host))
 ), removed AS (
   SELECT host, t, sum(len(string_split(line, ' '))) AS n FROM hl JOIN often USING (host, line) GROUP BY host, t
 ), stats AS (

@@ -90,6 +90,40 @@ def test_statistics_of_odd_texts(odd):
         assert r.base_failed == (own[0] < 10 or 100 * own[4] > 20 * own[0])
 
 
+def brute_rules(rows):
+    """Kept documents and their texts: base rules, then lines of at least 5 texts and 5 % of the host's; rows are (id, text, host)."""
+    texts, holders, out = defaultdict(set), defaultdict(set), {}
+    for _, t, h in rows:
+        texts[h or ""].add(t or "")
+    for h, own in texts.items():
+        for t in own:
+            for line in t.split("\n"):
+                if words(line):
+                    holders[h, tuple(words(line))].add(t)
+    often = {k for k, own in holders.items() if len(own) >= 5 and 100 * len(own) > 5 * len(texts[k[0]])}
+    for d, t, h in rows:
+        n, _, _, _, repeated = brute_statistics(t)
+        gone = [tuple(words(line)) for line in (t or "").split("\n") if (h or "", tuple(words(line))) in often]
+        left = n - sum(map(len, gone))
+        depleted = bool(gone) and (left < 10 or 100 * left < 30 * n)
+        if n >= 10 and 100 * repeated <= 20 * n and not depleted:
+            out[d] = "\n".join(x for x in (t or "").split("\n") if (h or "", tuple(words(x))) not in often)
+    return out, len(often)
+
+
+def test_rules_against_brute_force(spark, sf_small):
+    """On the given table lines are removed, and of texts made of such lines too little is left."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text", "source")
+    hosts = docs.withColumn("source", F.when(F.length("source") > 4, "one").otherwise("other"))
+    lines = F.split("text", "\n")
+    menu = hosts.select((F.col("doc_id") + 10_000).alias("doc_id"), F.array_join(F.slice(lines, 1, 2), "\n").alias("text"), "source")
+    both = hosts.unionByName(menu.where("length(text) < 400"))
+    want, often = brute_rules([tuple(r) for r in both.collect()])
+    found = judge_documents(both, ["doc_id"]).where("kept").collect()
+    assert {r.doc_id: r.left_text for r in found} == want and often > 0
+    assert len(want) < both.count() and any(r.left_text == "" or r.n_left_words < r.n_words for r in found)
+
+
 def test_frequent_lines_deplete_documents(spark):
     menu = "home about contact imprint and more of the same"
     rows = [(i, f"{menu}\n{prose(4, i)}", "en", "h") for i in range(30)] + [(99, f"{menu}\n{prose(80, 99)}", "en", "h")]
@@ -102,13 +136,15 @@ def test_frequent_lines_deplete_documents(spark):
 
 @pytest.fixture(scope="module")
 def menus(spark):
-    """With the production limits: on host h 60 of 200 texts have a short menu line, on host few 50 of 60."""
+    """With the production limits: on host h 60 of 200 texts have a short menu line, on host few 3 of 200, on small 4 of 6."""
     menu = "Home  About Contact"
     rows = [(i, f"{menu}\n{prose(9, i)}", "en", "h", 0) for i in range(30)]
     rows += [(i, f"\n Home About\tContact \n\n{prose(40, i)}\n{menu}\n{menu}\n", "en", "h", 0) for i in range(30, 60)]
     rows += [(i, f"{prose(40, i)}\nHome {i}\n", "en", "h", 0) for i in range(60, 200)]
-    rows += [(i, f"{menu}\n{prose(40, i)}", "en", "few", 0) for i in range(200, 250)]
-    rows += [(i, prose(40, i), "en", "few", 0) for i in range(250, 260)]
+    rows += [(i, f"{menu}\n{prose(40, i)}", "en", "few", 0) for i in range(200, 203)]
+    rows += [(i, prose(40, i), "en", "few", 0) for i in range(203, 400)]
+    rows += [(i, f"{menu}\n{prose(40, i)}", "en", "small", 0) for i in range(400, 404)]
+    rows += [(i, prose(40, i), "en", "small", 0) for i in range(404, 406)]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -693,10 +729,9 @@ def test_pipeline_stages_bear_odd_documents(spark, odd, none, sf_small):
 def test_pipeline_against_brute_force(spark, sf_small):
     from tokenizers import Tokenizer
 
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_small}/benchmark.parquet").collect()]
-    stats = {d: brute_statistics(t) for d, t in docs}
-    docs = [(d, t) for d, t in docs if not (stats[d][0] < 10 or 100 * stats[d][4] > 20 * stats[d][0])]
+    docs = list(brute_rules(docs)[0].items())
     docs = [(d, t) for d, _, _, t in brute_lines(docs, 40, 5)]
     same = brute_components(docs)
     docs = [(d, t) for d, t in docs if same[d][1] == d]
