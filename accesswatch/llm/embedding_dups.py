@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import md5
-from math import isqrt, sqrt
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -287,9 +287,9 @@ def near_vectors(
     """One row per vector: number of links, component and whether it is the one of its component that stays.
 
     Vectors of the same label and length link at a cosine of at least ``least``. Equal vectors are compared once. The index is
-    fitted on about ``sample`` distinct vectors, drawn by a hash of their digest; every vector is coded. Lists are
-    the square root of the vectors, at most ``most_lists``; those beyond ``block`` vectors are matched block by
-    block. A list is probed if it can hold a vector near enough, and a coded vector is compared exactly unless its table
+    fitted on about ``sample`` distinct vectors, drawn by a hash of their digest; every vector is coded. There is a
+    list per ``block`` vectors, at most ``most_lists``; a list of a label beyond ``block`` vectors is matched block by
+    block. More lists mean fewer comparisons and more copies of each vector on its way to the lists it probes. A list is probed if it can hold a vector near enough, and a coded vector is compared exactly unless its table
     distance, less what its own code loses, is too great: both are bounds, so no link is lost and the recall is one.
     A task holds one block and 512 probing vectors; of the links in a block it returns counts and a spanning forest.
 
@@ -311,7 +311,7 @@ def near_vectors(
         return own.select(F.col("id").alias(vec_id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     drawn = [r.vec for r in classes.where(F.pmod(F.xxhash64("key"), F.lit(n)) < sample).select("vec").collect()] or [classes.first().vec]
     index = spark.sparkContext.broadcast(
-        fit_quantiser(_unit(drawn, kind, dim)[1], min(most_lists, max(1, isqrt(n))), min(parts, dim), codes)
+        fit_quantiser(_unit(drawn, kind, dim)[1], min(most_lists, -(-n // block)), min(parts, dim), codes)
     )
     placed = cut(_placed(classes, index, kind, radius))
     at = ["label", "dim", "list"]
