@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accesswatch.functions.ip import is_internal_ip
@@ -12,17 +12,47 @@ from accesswatch.operators.quality import ratio
 CARRIED = ("Role", "Endpoint", "Timestamp", "predicted_anomaly", "anomaly_score")
 
 
+_WHOLE = ("bigint", "int", "smallint", "tinyint")
+
+
+def _rank(df: DataFrame, key: str, order: str) -> tuple[DataFrame, Column]:
+    """Rows, and a number of fixed width that orders them: by ``order``, then by the one other value if that is a whole
+    number, else by a hash of the other values.
+
+    An order that is neither a whole number nor a time gets the number of its place among the distinct values, of which
+    there are as many as runs; nulls come first.
+    """
+    kinds, rest = dict(df.dtypes), [c for c in df.columns if c not in (key, order)]
+    last = F.xxhash64(*(rest or [key]))
+    if len(rest) == 1 and kinds[rest[0]] in _WHOLE:
+        last = F.coalesce(F.col(rest[0]).cast("bigint"), F.lit(-(2**63)))
+    if kinds[order] in _WHOLE:
+        place = F.col(order).cast("bigint")
+    elif kinds[order] == "timestamp":
+        place = F.unix_micros(order)
+    else:
+        places = df.select(F.col(order).alias("_order")).where("_order IS NOT NULL").distinct()
+        places = places.withColumn("_place", F.row_number().over(Window.orderBy("_order")).cast("bigint"))
+        df = df.join(places, F.col(order) == F.col("_order"), "left").drop("_order")
+        place = F.col("_place")
+    # Two whole numbers side by side; places stay below 10 ** 18, so that 38 digits hold both.
+    high = F.coalesce(place, F.lit(-(10**18 - 1))).cast("decimal(18,0)")
+    return df, high * F.lit(str(2**64)).cast("decimal(20,0)") + last.cast("decimal(20,0)")
+
+
 def keep_last(df: DataFrame, key: str = "LogID", order: str = "run_id") -> DataFrame:
-    """The row of the latest run per key.
+    """The row of the latest run per key; of rows equal in ``order`` one by their values, never by where they lie.
 
-    Written as a maximum, which combines before the shuffle: any number of
-    copies of one key shrink to one row per input task. Rows equal in ``order``
-    are ranked by their remaining values, so the survivor never depends on
-    row order.
+    The latest is a maximum of a number, which tasks combine in hash tables before the shuffle: any number of copies of one key
+    shrink to one row per input task, and nothing is sorted. The rows meet it in a join by key; where the
+    rows are bucketed by the key, neither needs a shuffle. A null key is a key.
     """
-    rest = [c for c in df.columns if c not in (key, order)]
-    best = df.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_r"))
-    return best.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    ranked, rank = _rank(df, key, order)
+    ranked = ranked.withColumn("_rank", rank)
+    best = ranked.groupBy(F.col(key).alias("_key")).agg(F.max("_rank").alias("_best"))
+    # Not below the maximum is the maximum; said so, only the key is hashed.
+    on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_rank") >= F.col("_best"))
+    return ranked.join(best, on, "left_semi").select(*df.columns).distinct()
 
 
 def join_scores(archive: DataFrame, scored: DataFrame, keep_unscored_flag: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from accesswatch.operators import report
 from accesswatch.sources.files import read_or_empty
 from accesswatch.sources.schemas import SCORED_LOG, UNLABELLED_LOG
+from accesswatch.sources.store import RunStore
 
 ARCHIVED_LOG = T.StructType(
     [T.StructField(f.name, T.TimestampType()) if f.name == "Timestamp" else f for f in UNLABELLED_LOG.fields]
@@ -22,11 +23,16 @@ _DAY = T.StructField("log_date", T.DateType())
 def report_base(archive: DataFrame, results: DataFrame) -> DataFrame:
     """One row per archived log with its latest score and the report columns.
 
-    A log archived by several runs is kept once, a score the same way.
+    A log archived by several runs is kept once, a score the same way: of the run that arrived last where the rows say so, else
+    of the run with the largest id.
     """
-    logs = report.keep_last(archive.select(*[f.name for f in ARCHIVED_LOG.fields])).drop("run_id")
-    scored = report.keep_last(results.select(*[f.name for f in SCORED_LOG.fields]))
-    merged = report.join_scores(logs, scored.drop("run_id"), keep_unscored_flag=True)
+
+    def latest(rows: DataFrame, schema: T.StructType) -> DataFrame:
+        order = "arrival" if "arrival" in rows.columns else "run_id"
+        names = [f.name for f in schema.fields if f.name != "run_id"]
+        return report.keep_last(rows.select(*names, order), order=order).drop(order)
+
+    merged = report.join_scores(latest(archive, ARCHIVED_LOG), latest(results, SCORED_LOG), keep_unscored_flag=True)
     return report.with_report_columns(merged)
 
 
@@ -39,6 +45,9 @@ def load_report_base(
     """
 
     def stored(path: str, schema: T.StructType) -> DataFrame:
+        store = RunStore(spark, path)
+        if store.exists():
+            return store.read(schema, first=since, last=until)
         rows = read_or_empty(spark, path, T.StructType([*schema.fields, _DAY]))
         if since is not None:
             rows = rows.where(F.col("log_date") >= F.lit(since))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import re
 from datetime import date
 from functools import reduce
 
@@ -24,9 +23,7 @@ from accesswatch.sources.schemas import (
     normalise_names,
     require_columns,
 )
-
-
-_RUN = re.compile(r"[\w.-]+")
+from accesswatch.sources.store import RunStore
 
 
 def read_csv_by_name(spark: SparkSession, paths, types: dict[str, T.DataType]) -> DataFrame:
@@ -114,48 +111,15 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop, hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _run_files(spark: SparkSession, path: str, run_id: str) -> dict[str, set[str]]:
-    """File names of a run by folder."""
-    hadoop, fs = _file_system(spark, path)
-    found: dict[str, set[str]] = {}
-    for f in fs.globStatus(hadoop(f"{path}/log_date=*/run_id={run_id}/*")) or ():
-        found.setdefault(f.getPath().getParent().toString(), set()).add(f.getPath().getName())
-    return found
+def write_run(df: DataFrame, path: str, run_id: str) -> int:
+    """Store one run in place of all its former rows, also on days it has no rows for any more, and return the number
+    of its arrival (see ``store``)."""
+    return RunStore(df.sparkSession, path).write(df, run_id)
 
 
-def write_run(df: DataFrame, path: str, run_id: str) -> None:
-    """Write one run below ``path/log_date=.../run_id=...``.
-
-    A repeated run replaces all rows of the former one, also on days it has no rows for any more: folders of the
-    run that the write left as they were are removed. The date comes first, so that a time range can be read alone.
-    """
-    if not _RUN.fullmatch(run_id):
-        raise ValueError(f"a run id has letters, digits, _, . and -, not {run_id!r}")
-    spark = df.sparkSession
-    before = _run_files(spark, path, run_id)
-    (
-        df.withColumns({"log_date": F.to_date("Timestamp"), "run_id": F.lit(run_id)})
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("log_date", "run_id")
-        .parquet(path)
-    )
-    after = _run_files(spark, path, run_id) if before else {}
-    hadoop, fs = _file_system(spark, path)
-    for folder, names in before.items():
-        if after.get(folder) == names:
-            fs.delete(hadoop(folder), True)
-
-
-def read_runs(spark: SparkSession, path: str, first: date, last: date) -> DataFrame:
-    """Stored runs of the given days, however many; empty if no day has any. Only their folders are listed."""
-    hadoop, fs = _file_system(spark, path)
-    days = [f.getPath().getName() for f in fs.globStatus(hadoop(f"{path}/log_date=*")) or ()]
-    held = sorted(d for d in days if str(first) <= d.removeprefix("log_date=") <= str(last))
-    reader = spark.read.option("basePath", path)
-    if not held:
-        return reader.parquet(path).where(F.lit(False))
-    return reader.parquet(*[f"{path}/{d}" for d in held])
+def read_runs(spark: SparkSession, path: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """Stored runs, or those of the given days, however many; empty if no day has any. Only their folders are listed."""
+    return RunStore(spark, path).read(first=first, last=last)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from accesswatch.operators.detect import injection_chains
 from accesswatch.operators.rolling import add_request_rates
 from accesswatch.plans.features import FeatureEncoders, valid_rows
-from accesswatch.plans.scoring import batch_with_history, longest_window, score_batch
-from accesswatch.sources.files import split_unlabelled, write_run
+from accesswatch.plans.scoring import archive_run, batch_with_history, longest_window, score_batch
+from accesswatch.sources.files import write_run
 
 
 def run_id(stream_name: str, batch_no: int) -> str:
@@ -44,9 +44,8 @@ def _start(logs: DataFrame, on_batch, checkpoint: str, trigger: dict | None):
 def _with_history(logs: DataFrame, compute, seconds: int, archive: str, output: str, checkpoint: str, name: str, trigger):
     def on_batch(batch: DataFrame, number: int) -> None:
         run = run_id(name, number)
-        rows = valid_rows(batch)
-        write_run(split_unlabelled(rows), archive, run)
-        near = batch_with_history(logs.sparkSession, archive, rows, run, seconds)
+        moved = archive_run(valid_rows(batch), archive, run)
+        near = batch_with_history(logs.sparkSession, archive, moved, run, seconds)
         if near is not None:
             write_run(compute(near).where("_own").drop("_own"), output, run)
 

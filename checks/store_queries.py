@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from accesswatch.functions import temporal as T
 from accesswatch.operators import model as M
+from accesswatch.operators.report import keep_last
+from accesswatch.operators.rolling import add_request_rates
 from accesswatch.plans.features import build_features, fit_encoders, time_counts
 from accesswatch.plans.reporting import load_report_base
-from accesswatch.plans.scoring import score_batch
+from accesswatch.plans.scoring import archive_run, batch_with_history, longest_window, score_batch
 from accesswatch.sources import files, schemas
 from accesswatch.sources.rules import default_rules
-from checks.clog import CLOG_SQL, DENSE_SQL, LOG_COLUMNS, RUNS_SQL, STAMP, clog, run_a, run_b, stamp
+from accesswatch.sources.store import RunStore
+from checks.clog import CLOG_SQL, DENSE_SQL, LOG_COLUMNS, RUNS_SQL, STAMP, clog, clog_dense, run_a, run_b, stamp
+from checks.feature_queries import RATES
 from checks.model_queries import dense_log, work_folder
 from checks.registry import register
 
@@ -69,6 +73,45 @@ def s9(spark, sf):
     return stored.select("LogID", "run_id", stamp("Timestamp").alias("Timestamp"))
 
 
+@register(
+    "s9_u4_compacted_runs",
+    CLOG_SQL + f"""SELECT "LogID", 'b' AS run_id, 2 AS arrival, strftime("Timestamp", {STAMP}) AS "Timestamp" FROM clog WHERE event_id % 3 = 1
+UNION ALL SELECT "LogID", 'a', 4, strftime("Timestamp" + INTERVAL 1 DAY, {STAMP}) FROM clog WHERE event_id % 3 = 0
+UNION ALL SELECT "LogID", 'c', 6, strftime("Timestamp", {STAMP}) FROM clog WHERE event_id % 3 = 2""",
+)
+def s9_compacted(spark, sf):
+    """Runs a and b, compaction, a once more with other times, compaction, run c: each row with its run's last arrival."""
+    log, store = clog(spark, sf).select("LogID", "Timestamp", "event_id"), RunStore(spark, work_folder(spark))
+    part = F.col("event_id") % 3
+    store.write(log.where(part == 0), "a")
+    store.write(log.where(part == 1), "b")
+    store.compact()
+    store.write(log.where(part == 0).withColumn("Timestamp", F.col("Timestamp") + F.expr("INTERVAL 1 DAY")), "a")
+    store.compact()
+    store.write(log.where(part == 2), "c")
+    rows = store.read()
+    return rows.select("LogID", "run_id", F.col("arrival").cast("int").alias("arrival"), stamp("Timestamp").alias("Timestamp"))
+
+
+@register("v4_w3_backfill_by_older_runs", RATES)
+def v4_backfill(spark, sf):
+    """Rates of runs whose ids go down while they arrive: the second quarter of the log first under the largest id, then the
+    rest around it, half of the last quarter at first, a log of 1990 and one run twice. What arrived last is right."""
+    log, folder = files.split_unlabelled(clog_dense(spark, sf)), work_folder(spark)
+    first, last = log.agg(F.min(F.unix_micros("Timestamp")), F.max(F.unix_micros("Timestamp"))).first()
+    quarter = F.expr(f"(unix_micros(Timestamp) - {first}L) div {(last - first) // 4 + 1}L")
+    old = log.limit(1).withColumns({"LogID": F.lit("old"), "Timestamp": F.lit("1990-05-05 05:05:05").cast("timestamp")})
+    runs = [("202401010900", log.where(quarter == 1)), ("202401010800", log.where((quarter == 3) & (F.col("UserID") % 2 == 0))),
+            ("202401010700", log.where(quarter == 0).unionByName(old)), ("202401010600", log.where(quarter == 2)),
+            ("202401010800", log.where(quarter == 3))]
+    for run, rows in runs:
+        moved = archive_run(rows, f"{folder}/archive", run)
+        near = batch_with_history(spark, f"{folder}/archive", moved, run, longest_window())
+        files.write_run(add_request_rates(near).where("_own").drop("_own"), f"{folder}/rates", run)
+    stored = RunStore(spark, f"{folder}/rates").read().where("LogID <> 'old'")
+    return keep_last(stored.select("LogID", "arrival", "req_freq_5min", "inventory_change_rate"), order="arrival").drop("arrival")
+
+
 @register(
     "s5_archive_or_empty",
     CLOG_SQL + """SELECT "Role", count(*) AS n_logs FROM clog GROUP BY "Role" """,

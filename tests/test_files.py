@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from accesswatch.sources import files
 from accesswatch.sources.schemas import UNLABELLED_LOG
+from accesswatch.sources.store import RunStore
 from tests.conftest import log_rows
 
 HEADER = "LogID,UserID,Role,Timestamp,HTTP_Method,Endpoint,IP_Address,HTTP_Response"
@@ -79,3 +80,77 @@ def test_a_moved_and_an_empty_repeat(spark, tmp_path):
     assert files.read_runs(spark, path, date(2023, 1, 1), date(2023, 2, 1)).count() == 0
     with pytest.raises(ValueError, match="run id"):
         files.write_run(rows(1), path, "../x")
+
+
+def test_a_reader_sees_one_version(spark, tmp_path):
+    """Killed after the rows, after the commit, and during the removal of the former rows."""
+    path = str(tmp_path / "archive")
+    store = RunStore(spark, path)
+    rows = lambda *ids: log_rows(spark, [(i, 1, "2024-01-01 10:00:00") for i in ids])
+    seen = lambda: sorted(r.LogID for r in RunStore(spark, path).read().collect())
+    store.write(rows("a", "b"), "r1")
+
+    class Killed(Exception):
+        pass
+
+    def die(*_):
+        raise Killed
+
+    for step, left in (("_commit", ["a", "b"]), ("_remove_replaced", ["c"])):
+        dying = RunStore(spark, path)
+        setattr(dying, step, die)
+        with pytest.raises(Killed):
+            dying.write(rows("c"), "r1")
+        assert seen() == left
+    # The next run clears what a dead writer left of replaced runs.
+    store.write(rows("d"), "r2")
+    assert seen() == ["c", "d"] and len(list((tmp_path / "archive").glob("attempt=*/log_date=*"))) == 3
+
+
+def test_compaction_keeps_arrivals_and_reruns(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    store = RunStore(spark, path)
+    rows = lambda day, *ids: log_rows(spark, [(i, 1, f"2024-01-0{day} 10:00:00") for i in ids])
+    seen = lambda: sorted((r.LogID, r.run_id, r.arrival) for r in RunStore(spark, path).read().collect())
+    for n in range(4):
+        assert store.write(rows(1 + n % 2, f"a{n}"), f"r{n}") == n + 1
+    before = seen()
+    store.compact()
+    assert seen() == before == [(f"a{n}", f"r{n}", n + 1) for n in range(4)]
+    files_now = [str(f) for f in (tmp_path / "archive").glob("attempt=*/log_date=*/*.parquet")]
+    assert len(files_now) == 2 and len({f.split("log_date=")[1][:10] for f in files_now}) == 2
+    # A run that comes again after the compaction replaces its rows in it, and so does a second compaction.
+    store.write(rows(2, "new").withColumn("more", F.lit(1)), "r1")
+    want = [("a0", "r0", 1), ("a2", "r2", 3), ("a3", "r3", 4), ("new", "r1", 6)]
+    assert seen() == want and {r.LogID for r in store.read_run("r1").collect()} == {"new"}
+    dying = RunStore(spark, path)
+    dying._remove_replaced = lambda: None
+    dying.compact()
+    assert seen() == want and [r.LogID for r in store.read_run("r3").collect()] == ["a3"] and store.read_run("r9") is None
+    store.compact()
+    assert seen() == want and len(list((tmp_path / "archive").glob("attempt=*"))) == 1
+    assert "more" in store.read().columns
+    assert {r.LogID for r in store.read(days=["2024-01-01"]).collect()} == {"a0", "a2"}
+
+
+def test_numbers_are_never_taken_twice(spark, tmp_path):
+    stores = [RunStore(spark, str(tmp_path / "s")) for _ in range(3)]
+    numbers = [stores[i % 3]._next() for i in range(9)]
+    assert len(set(numbers)) == 9 and numbers == sorted(numbers)
+    # A writer that has listed before the others went on.
+    late = stores[0]
+    listed, calls = late._names, []
+
+    def names(*parts):
+        calls.append(parts)
+        return ["000000000002"] if len(calls) == 1 else listed(*parts)
+
+    late._names = names
+    assert late._next() > max(numbers)
+
+
+def test_an_empty_store(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "none"))
+    assert not store.exists() and store.read(UNLABELLED_LOG).count() == 0 and store.read_run("x") is None
+    store.write(log_rows(spark, [("a", 1, "2024-01-01 10:00:00")]).where("false"), "r")
+    assert store.exists() and store.read(UNLABELLED_LOG).count() == 0

@@ -1,6 +1,7 @@
 """Shapes of physical plans that matter at scale."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from accesswatch.operators import report, rolling
 from accesswatch.plans.features import row_features
@@ -47,5 +48,8 @@ def test_filters_reach_the_files(stored_log):
 
 
 def test_latest_row_combines_before_the_shuffle(spark):
-    text = plan(report.keep_last(spark.range(9).selectExpr("cast(id as string) LogID", "'1' run_id", "id v")))
-    assert "partial_max" in text and "Window" not in text
+    rows = spark.range(9).selectExpr("cast(id as string) LogID", "id arrival", "'x' v")
+    text = plan(report.keep_last(rows, order="arrival"))
+    assert "partial_max" in text and "Window" not in text and "SortAggregate" not in text
+    text = plan(report.keep_last(rows.withColumn("run_id", F.lit("1"))))
+    assert "partial_max" in text and "SortAggregate" not in text

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from accesswatch.operators.detect import failed_attempt_bursts
 from accesswatch.operators.rolling import add_request_rates
+from accesswatch.plans.scoring import archive_run, batch_with_history
 from accesswatch.sources.files import split_unlabelled
 from accesswatch.streaming import monitor, score
 from tests.conftest import log_rows
@@ -86,3 +87,32 @@ def test_rates_go_on_across_batches(spark, tmp_path):
     assert streamed.select("run_id").distinct().count() == 4
     expected = add_request_rates(log_rows(spark, rows))
     assert sorted(map(tuple, streamed.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
+
+
+def rated(spark, folder, run, rows):
+    logs = split_unlabelled(log_rows(spark, rows))
+    moved = archive_run(logs, f"{folder}/archive", run)
+    near = batch_with_history(spark, f"{folder}/archive", moved, run, 600)
+    return near
+
+
+def test_an_early_row_reads_and_rescores_its_days_only(spark, tmp_path):
+    """A batch with a row of 1990: neither days between nor other users' rows are read or scored again."""
+    month = [(f"{d:02d}{i}", i % 3, str(T0 + timedelta(days=d, seconds=60 * i))) for d in range(30) for i in range(10)]
+    assert rated(spark, tmp_path, "first", month).where("_own").count() == 300
+    late = [("old", 1, "1990-01-01 00:00:00"), ("new", 1, str(T0 + timedelta(days=29, seconds=200)))]
+    near = rated(spark, tmp_path, "late", late)
+    plan = near._jdf.queryExecution().toString()
+    assert plan.count("log_date=") <= 8 and "log_date=2024-01-05" not in plan
+    own = {r.LogID for r in near.where("_own").collect()}
+    # Of the last day, rows of user 1 after the late one: at 240 s and 420 s.
+    assert own == {"old", "new", "294", "297"}
+    assert {r.UserID for r in near.collect()} == {1}
+
+
+def test_a_corrected_run_rescores_what_its_former_rows_decided(spark, tmp_path):
+    rated(spark, tmp_path, "a", [("a1", 1, at(0)), ("a2", 2, at(0))])
+    rated(spark, tmp_path, "b", [("b1", 1, at(60)), ("b2", 2, at(60))])
+    near = rated(spark, tmp_path, "a", [("a2", 2, at(0))])
+    assert {r.LogID for r in near.where("_own").collect()} == {"a2", "b1", "b2"}
+    assert rated(spark, tmp_path, "none", [("x", 1, None)]) is None
