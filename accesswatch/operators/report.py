@@ -50,9 +50,11 @@ def keep_last(df: DataFrame, key: str = "LogID", order: str = "run_id") -> DataF
     ranked, rank = _rank(df, key, order)
     ranked = ranked.withColumn("_rank", rank)
     best = ranked.groupBy(F.col(key).alias("_key")).agg(F.max("_rank").alias("_best"))
-    # Not below the maximum is the maximum; said so, only the key is hashed.
-    on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_rank") >= F.col("_best"))
-    return ranked.join(best, on, "left_semi").select(*df.columns).distinct()
+    # Not below the maximum is the maximum; said so, only the key is hashed. Null keys meet nothing: theirs is looked up.
+    met = ranked.join(best, (F.col(key) == F.col("_key")) & (F.col("_rank") >= F.col("_best")), "left")
+    last_null = ranked.where(F.col(key).isNull()).agg(F.max("_rank")).scalar()
+    last = F.col("_key").isNotNull() | (F.col(key).isNull() & (F.col("_rank") == last_null))
+    return met.where(last).select(*df.columns).distinct()
 
 
 def join_scores(archive: DataFrame, scored: DataFrame, keep_unscored_flag: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accesswatch.operators import report
+from accesswatch.sources.current import BucketedRows
 from accesswatch.sources.files import read_or_empty
 from accesswatch.sources.schemas import SCORED_LOG, UNLABELLED_LOG
 from accesswatch.sources.store import RunStore
@@ -56,6 +57,20 @@ def load_report_base(
     return report_base(stored(archive_path, ARCHIVED_LOG), stored(results_path, SCORED_LOG))
 
 
+def bucketed_report_base(
+    spark: SparkSession, archive_path: str, results_path: str, bucketed_path: str, buckets: int = 64
+) -> DataFrame:
+    """The same over tables bucketed by log id, to which only runs that arrived since the last call are added: no row that was
+    there before is shuffled, for the latest rows or for the join. ``BucketedRows.fold`` puts the parts of many calls together."""
+    both = []
+    for name, path, schema in (("archive", archive_path, ARCHIVED_LOG), ("results", results_path, SCORED_LOG)):
+        store = RunStore(spark, path)
+        rows = BucketedRows(spark, f"{bucketed_path}/{name}", schema, buckets=buckets)
+        rows.refresh(store)
+        both.append(rows.rows(store))
+    return report_base(*both)
+
+
 def report_tables(base: DataFrame, borderline: float = 0.3) -> dict[str, DataFrame]:
     """All tables of the report by name; cache ``base`` when several are used."""
     return {

@@ -95,7 +95,11 @@ class RunStore:
         ]
         return {n: commits[n]["days"] for n in live}, latest, dead
 
-    def write(self, df: DataFrame, run: str, before_removal=None) -> int:
+    def arrivals(self) -> dict[str, int]:
+        """The arrival number that counts for each run."""
+        return self._state()[1]
+
+    def write(self, df: DataFrame, run: str) -> int:
         """Store the rows of a run in place of its former ones, and return its arrival number."""
         if not _RUN.fullmatch(run):
             raise ValueError(f"a run id has letters, digits, _, . and -, not {run!r}")
@@ -103,8 +107,6 @@ class RunStore:
         rows = df.withColumns({DAY: F.to_date("Timestamp"), RUN: F.lit(run), ARRIVAL: F.lit(number).cast("bigint")})
         rows.write.partitionBy(DAY).parquet(f"{self.path}/attempt={number}")
         self._commit(number, {"run": run, "days": self._days(number)})
-        if before_removal is not None:
-            before_removal()
         self._remove_replaced()
         return number
 
@@ -122,18 +124,29 @@ class RunStore:
 
     def read(
         self, schema: T.StructType | None = None, days: Iterable[str] | None = None, first: date | None = None,
-        last: date | None = None,
+        last: date | None = None, arrivals: set[int] | None = None,
     ) -> DataFrame:
-        """Rows that count, of all days or of some; empty if there are none. Only the folders of these days are listed."""
-        return self._rows(self._state(), schema, days, first, last)
+        """Rows that count, of all days or of some, of all arrivals or of some; empty if there are none. Only the folders
+        of these days, and the attempts that hold these arrivals, are listed."""
+        state = self._state()
+        if arrivals is None:
+            return self._rows(state, schema, days, first, last)
+        commits = self._commits()
+        holders = {self._holder(n, commits) for n in arrivals}
+        state = ({n: d for n, d in state[0].items() if n in holders}, *state[1:])
+        return self._rows(state, schema, days, first, last).where(F.col(ARRIVAL).isin(sorted(arrivals)))
+
+    def _holder(self, own: int, commits: dict[int, dict]) -> int:
+        """The attempt that holds the rows of an arrival."""
+        return max(n for n, c in commits.items() if n == own or own in c.get("covers", {}).values())
 
     def read_run(self, run: str) -> DataFrame | None:
         """The rows of one run, from the attempt that holds them alone; None if there is no such run."""
         live, latest, _ = self._state()
         if run not in latest:
             return None
-        commits, own = self._commits(), latest[run]
-        holder = max(n for n, c in commits.items() if n == own or own in c.get("covers", {}).values())
+        own = latest[run]
+        holder = self._holder(own, self._commits())
         return self._rows(({holder: live[holder]}, {}, [])).where(F.col(ARRIVAL) == own)
 
     def _rows(self, state, schema=None, days=None, first=None, last=None, merge: bool = False) -> DataFrame:

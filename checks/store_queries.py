@@ -11,7 +11,7 @@ from accesswatch.operators import model as M
 from accesswatch.operators.report import keep_last
 from accesswatch.operators.rolling import add_request_rates
 from accesswatch.plans.features import build_features, fit_encoders, time_counts
-from accesswatch.plans.reporting import load_report_base
+from accesswatch.plans.reporting import bucketed_report_base, load_report_base
 from accesswatch.plans.scoring import archive_run, batch_with_history, longest_window, score_batch
 from accesswatch.sources import files, schemas
 from accesswatch.sources.rules import default_rules
@@ -20,6 +20,7 @@ from checks.clog import CLOG_SQL, DENSE_SQL, LOG_COLUMNS, RUNS_SQL, STAMP, clog,
 from checks.feature_queries import RATES
 from checks.model_queries import dense_log, work_folder
 from checks.registry import register
+from checks.report_queries import BASE_SQL
 
 
 def _one_file(df, path: str) -> None:
@@ -232,6 +233,25 @@ def j1_period(spark, sf):
     return load_report_base(spark, f"{folder}/archive", f"{folder}/results", day, day).select("LogID", "predicted_anomaly")
 
 
+@register(
+    "j1_w3_bucketed_report",
+    BASE_SQL + """SELECT "LogID", "UserID", "Role", "Endpoint", predicted_anomaly, anomaly_score, is_scored, is_internal_ip, "Hour", is_unusual_hour FROM base""",
+)
+def j1_bucketed(spark, sf):
+    """The report after four refreshes of bucketed tables, one of them with a run that comes again."""
+    log, folder = clog(spark, sf), work_folder(spark)
+    paths = [f"{folder}/{x}" for x in ("archive", "results", "bucketed")]
+    half = F.col("event_id") % 2
+    for rows, run in ((log.where(half == 0), "1"), (log.where(half == 0), "2"), (log.where(half == 1), "2")):
+        files.write_run(files.split_unlabelled(rows), paths[0], run)
+        bucketed_report_base(spark, *paths, buckets=4)
+    for rows, run in ((run_b(log), "a"), (run_a(log), "a"), (run_b(log), "b")):
+        files.write_run(rows.drop("run_id"), paths[1], run)
+        base = bucketed_report_base(spark, *paths, buckets=4)
+    names = ["LogID", "UserID", "Role", "Endpoint", "predicted_anomaly", "anomaly_score", "is_scored", "is_internal_ip", "Hour"]
+    return base.select(*names, "is_unusual_hour")
+
+
 @register(
     "v6_scored_batch",
     DENSE_SQL + """SELECT "LogID", ("HTTP_Method" = 'DELETE' AND NOT ("Role" IN ('Doctor', 'Nurse')

@@ -4,8 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from accesswatch.operators import report, rolling
+from accesswatch.plans import reporting
 from accesswatch.plans.features import row_features
+from accesswatch.sources import files
+from accesswatch.sources.current import BucketedRows
 from accesswatch.sources.rules import default_rules
+from accesswatch.sources.store import RunStore
 from checks import clog  # noqa: F401 - the log view
 from checks.registry import QUERIES
 import __spark_entry__  # noqa: F401 - registers queries
@@ -53,3 +57,31 @@ def test_latest_row_combines_before_the_shuffle(spark):
     assert "partial_max" in text and "Window" not in text and "SortAggregate" not in text
     text = plan(report.keep_last(rows.withColumn("run_id", F.lit("1"))))
     assert "partial_max" in text and "SortAggregate" not in text
+
+
+def test_bucketed_report_shuffles_no_rows(spark, sf_small, tmp_path):
+    """Latest rows of two parts and the join: no exchange by a key, nothing sorted to be grouped."""
+    log, paths = clog.clog(spark, sf_small), [str(tmp_path / x) for x in "arb"]
+    files.write_run(files.split_unlabelled(log), paths[0], "1")
+    for run, rows in (("1", clog.run_a(log)), ("2", clog.run_b(log)), ("1", clog.run_a(log))):
+        files.write_run(rows.drop("run_id"), paths[1], run)
+        base = reporting.bucketed_report_base(spark, *paths, buckets=4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(reporting.bucketed_report_base(spark, *paths, buckets=4))
+        assert "hashpartitioning" not in text and "SortAggregate" not in text and "SortMergeJoin" in text
+        results = BucketedRows(spark, f"{paths[2]}/results", reporting.SCORED_LOG, buckets=4)
+        before = sorted(map(tuple, base.collect()), key=str)
+        store = RunStore(spark, paths[1])
+        results.fold(store)
+        assert len(list((tmp_path / "b" / "results").glob("part=*"))) == 1 and results.refresh(store) == []
+        assert sorted(map(tuple, reporting.bucketed_report_base(spark, *paths, buckets=4).collect()), key=str) == before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_latest_row_of_null_keys(spark):
+    rows = [(None, 1, "a"), (None, 2, "b"), ("x", 2, "c"), ("x", 2, "c"), ("x", None, "d"), ("y", None, "e")]
+    last = report.keep_last(spark.createDataFrame(rows, "LogID string, arrival long, v string"), order="arrival")
+    assert sorted(map(tuple, last.collect()), key=str) == [("x", 2, "c"), ("y", None, "e"), (None, 2, "b")]
