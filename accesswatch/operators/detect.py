@@ -122,14 +122,8 @@ def rapid_inventory_changes(df: DataFrame, within_seconds: int = 20, same_ip: bo
     )
 
 
-def injection_chains(
-    df: DataFrame, rules: dict, within_seconds: int = 300, same_ip: bool = True, statuses: tuple[int, ...] | None = (500,)
-) -> DataFrame:
-    """Reads of exfiltration endpoints shortly after an injection on the same id.
-
-    One row per read with the number of injections in the window before it:
-    a trailing count, so injections and reads are never paired up.
-    """
+def chain_steps(df: DataFrame, rules: dict, statuses: tuple[int, ...] | None = (500,)) -> DataFrame:
+    """Requests that can take part in a chain: ``_injection`` or ``_read`` holds, ``_id`` is the record's id."""
     pairs = validate_rules(rules)["ANOMALOUS_ENDPOINTS"]
     entries = [f"{m} {e}" for e, m in pairs["sql_injection"]]
     reads = [f"{m} {e}" for e, m in pairs["data_exfiltration"]]
@@ -138,11 +132,22 @@ def injection_chains(
     injected = decoded(endpoint).rlike(rf"(?s)[?&]query=.*(?:{INJECTION})") & step.isin(*entries)
     if statuses is not None:
         injected = F.col("HTTP_Response").isin(*statuses) & injected
-    # Only rows that can take part are shuffled.
-    logs = _on_resources(df, [e for e, _ in pairs["sql_injection"] + pairs["data_exfiltration"]]).withColumns(
-        {"_injection": injected, "_read": ~endpoint.contains("query=") & step.isin(*reads)}
-    )
-    logs = logs.where("_injection or _read").withColumn("_id", resource_id(endpoint, None))
+    methods = sorted({m for _, m in pairs["sql_injection"] + pairs["data_exfiltration"]})
+    # Cheap tests first; only rows that can take part are shuffled.
+    logs = _on_resources(df.where(F.col("HTTP_Method").isin(*methods)), [e for e, _ in pairs["sql_injection"] + pairs["data_exfiltration"]])
+    logs = logs.withColumns({"_injection": injected, "_read": ~endpoint.contains("query=") & step.isin(*reads)})
+    return logs.where("_injection or _read").withColumn("_id", resource_id(endpoint, None))
+
+
+def injection_chains(
+    df: DataFrame, rules: dict, within_seconds: int = 300, same_ip: bool = True, statuses: tuple[int, ...] | None = (500,)
+) -> DataFrame:
+    """Reads of exfiltration endpoints shortly after an injection on the same id.
+
+    One row per read with the number of injections in the window before it:
+    a trailing count, so injections and reads are never paired up.
+    """
+    logs = chain_steps(df, rules, statuses)
     keys = ["UserID", "_id"] + (["IP_Address"] if same_ip else [])
     counted = trailing_counts(
         logs, keys, "Timestamp",
