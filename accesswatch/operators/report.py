@@ -114,6 +114,11 @@ def headline(df: DataFrame, count_threshold: int = 10, ratio_threshold: float =
         F.count_if(_anomalous() & ~F.col("is_internal_ip")).alias("external_ip_anomalies"),
         F.count_if(_anomalous() & F.col("is_unusual_hour")).alias("unusual_hour_anomalies"),
     )
+    return with_thresholds(totals, count_threshold, ratio_threshold)
+
+
+def with_thresholds(totals: DataFrame, count_threshold: int = 10, ratio_threshold: float = 0.05) -> DataFrame:
+    """Totals with the figures that follow from them."""
     return totals.withColumns(
         {
             "normal_count": F.col("total_logs") - F.col("anomaly_count"),

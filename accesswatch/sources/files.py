@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from accesswatch.session import checkpoint_dir
 from accesswatch.sources.schemas import (
     FEATURE_COLUMNS,
     LABEL,
@@ -29,26 +30,40 @@ from accesswatch.sources.store import RunStore
 def read_csv_by_name(spark: SparkSession, paths, types: dict[str, T.DataType]) -> DataFrame:
     """Rows of CSV files whose headers may differ, matched by column name; ``_path`` is the row's file.
 
-    The first line of each file is its header. Rows are parsed once per distinct header, of which there are few; which
-    file has which header stays a table. Columns in ``types`` have those types (null where a value does not fit),
-    all others are text, and columns a file does not have are null. A value may not contain a line break.
+    The first line of each file is its header. Files are read once per distinct header, of which there are few. Columns in
+    ``types`` have those types (null where a value does not fit), all others are text, and columns a file does not have are
+    null. A file none of whose values has a line break is read line by line, so that any number of tasks share it; where a line
+    has an odd number of quotes, a value goes on in the next line, and such a file is read whole by one task.
     """
     lines = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("_path"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"),
     ).where(F.length(F.trim("value")) > 0)
-    heads = lines.groupBy("_path").agg(F.min_by("value", "_at").alias("_head"))
-    known = [r[0] for r in heads.select("_head").distinct().orderBy("_head").collect()]
-    if not known:
+    odd = F.regexp_count("value", F.lit('"')) % 2 == 1
+    heads = lines.groupBy("_path").agg(F.min_by("value", "_at").alias("_head"), F.max(odd).alias("_broken"))
+    checkpoint_dir(spark)
+    heads = heads.checkpoint()
+    known = [r[0] for r in heads.where("NOT _broken").select("_head").distinct().orderBy("_head").collect()]
+    broken: dict[str, list[str]] = {}
+    for r in heads.where("_broken").orderBy("_path").collect():
+        broken.setdefault(r["_head"], []).append(r["_path"])
+    if not known and not broken:
         raise ValueError(f"no lines under {paths}")
-    rows = lines.join(heads, "_path") if len(known) > 1 else lines.withColumn("_head", F.lit(known[0]))
-    rows = rows.where("value <> _head")
+
+    def columns(head: str) -> str:
+        names = next(csv.reader([head.lstrip("\ufeff")]))
+        return ", ".join(f"`{n.replace('`', '``')}` {types.get(n, T.StringType()).simpleString()}" for n in names)
+
     frames = []
+    plain = heads.where("NOT _broken").select("_path", "_head")
+    rows = lines.join(plain, "_path") if len(known) > 1 or broken else lines.withColumn("_head", F.lit((known or [""])[0]))
+    rows = rows.where("value <> _head")
     for head in known:
-        names = next(csv.reader([head.lstrip("\ufeff")]))
-        ddl = ", ".join(f"`{n.replace('`', '``')}` {types.get(n, T.StringType()).simpleString()}" for n in names)
-        parsed = F.from_csv("value", ddl, {"mode": "PERMISSIVE"})
+        parsed = F.from_csv("value", columns(head), {"mode": "PERMISSIVE"})
         frames.append(rows.where(F.col("_head") == head).select(parsed.alias("_row"), "_path").select("_row.*", "_path"))
+    for head, files in broken.items():
+        reader = spark.read.schema(columns(head)).option("header", True).option("multiLine", True).option("mode", "PERMISSIVE")
+        frames.append(reader.csv(files).select("*", F.col("_metadata.file_path").alias("_path")))
     return union_by_name(frames)
 
 

@@ -99,6 +99,29 @@ class RunStore:
         """The arrival number that counts for each run."""
         return self._state()[1]
 
+    def days(self) -> dict[int, list[str]]:
+        """Days of each attempt that is read."""
+        return self._state()[0]
+
+    def note(self, text: str | None = None) -> str | None:
+        """A note beside the runs; with ``text`` it is replaced."""
+        at = self._at("_note")
+        if text is not None:
+            draft = self._at("_drafts", "note")
+            out = self._fs.create(draft, True)
+            out.write(bytearray(text.encode()))
+            out.close()
+            self._fs.delete(at, False)
+            self._fs.rename(draft, at)
+            return text
+        if not self._fs.exists(at):
+            return None
+        file = self._fs.open(at)
+        try:
+            return bytes(file.readAllBytes()).decode()
+        finally:
+            file.close()
+
     def write(self, df: DataFrame, run: str) -> int:
         """Store the rows of a run in place of its former ones, and return its arrival number."""
         if not _RUN.fullmatch(run):

@@ -8,6 +8,7 @@ from accesswatch.functions import endpoint as E
 from accesswatch.functions import ip as I
 from accesswatch.functions import temporal as T
 from accesswatch.operators import authz, encoders, quality, rolling
+from accesswatch.operators.networks import longest_network
 from accesswatch.sources import files, rules, schemas
 from checks.clog import (
     CLOG_SQL, DENSE_SQL, LOG_COLUMNS, RUNS_SQL, STAMP, clog, clog_dense, ip_sql, run_a, run_b, stamp,
@@ -230,6 +231,26 @@ def j9(spark, sf):
     ).agg(F.count(F.lit(1)).alias("n_addresses"))
 
 
+@register(
+    "j9_longest_of_many_networks",
+    """WITH a AS (SELECT l_orderkey, l_linenumber, CAST((l_orderkey * 2654435761 + l_partkey * 40503) % 4294967296 AS BIGINT) AS n FROM lineitem),
+w AS (SELECT o_orderkey AS owner, 4 + o_custkey % 25 AS bits, CAST((o_orderkey * 2246822519) % 4294967296 AS BIGINT) AS n FROM orders),
+k AS (SELECT bits, n // (1::BIGINT << (32 - bits)) AS prefix, min(owner) AS owner FROM w GROUP BY ALL),
+f AS (SELECT n, bits, owner FROM (SELECT DISTINCT n, bits, n // (1::BIGINT << (32 - bits)) AS prefix FROM a, (SELECT DISTINCT bits FROM k))
+  JOIN k USING (bits, prefix) QUALIFY row_number() OVER (PARTITION BY n ORDER BY bits DESC) = 1)
+SELECT l_orderkey, l_linenumber, bits::INTEGER AS bits, owner FROM a LEFT JOIN f USING (n)""",
+)
+def j9_networks(spark, sf):
+    """Addresses of all order lines against a network of each order."""
+    octets = [F.expr(f"cast(n div {d} % 256 as string)") for d in (16777216, 65536, 256, 1)]
+    n = (F.col("l_orderkey") * F.lit(2654435761) + F.col("l_partkey") * 40503) % F.lit(4294967296)
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n")).withColumn("ip", F.concat_ws(".", *octets))
+    own = ((F.col("o_orderkey") * F.lit(2246822519)) % F.lit(4294967296)).alias("n")
+    held = table(spark, sf, "orders").select(F.col("o_orderkey").alias("owner"), (4 + F.col("o_custkey") % 25).cast("int").alias("bits"), own)
+    held = held.withColumn("cidr", F.concat(F.concat_ws(".", *octets), F.lit("/"), F.col("bits").cast("string"))).drop("n")
+    return longest_network(lines, held, ["bits", "owner"], "ip").drop("n", "ip")
+
+
 @register(
     "x9_resource_id",
     CLOG_SQL + """

@@ -10,6 +10,7 @@ from accesswatch.functions import temporal as T
 from accesswatch.operators import model as M
 from accesswatch.operators.report import keep_last
 from accesswatch.operators.rolling import add_request_rates
+from accesswatch.plans import refresh
 from accesswatch.plans.features import build_features, fit_encoders, time_counts
 from accesswatch.plans.reporting import bucketed_report_base, load_report_base
 from accesswatch.plans.scoring import archive_run, batch_with_history, longest_window, score_batch
@@ -20,7 +21,7 @@ from checks.clog import CLOG_SQL, DENSE_SQL, LOG_COLUMNS, RUNS_SQL, STAMP, clog,
 from checks.feature_queries import RATES
 from checks.model_queries import dense_log, work_folder
 from checks.registry import register
-from checks.report_queries import BASE_SQL
+from checks.report_queries import BASE_SQL, report_base
 
 
 def _one_file(df, path: str) -> None:
@@ -45,6 +46,24 @@ def s1(spark, sf):
     return files.read_log_csv(spark, folder).select(*LOG_COLUMNS)
 
 
+@register(
+    "s1_s4_values_with_line_breaks",
+    CLOG_SQL + """SELECT "LogID", 'results_' || (CASE event_id % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE '3' END) AS file,
+  CASE WHEN event_id % 3 < 2 THEN "Role" || CASE WHEN event_id % 30 = 0 THEN chr(10) || 'second, "line"' WHEN event_id % 30 = 10 THEN chr(10) || chr(10) || 'end' ELSE '' END END AS "Note",
+  CASE WHEN event_id % 3 = 1 THEN NULL ELSE "HTTP_Response" END AS "HTTP_Response" FROM clog""",
+)
+def s1_breaks(spark, sf):
+    """Files of three headers, two of which have values that go on over lines."""
+    log, folder = clog(spark, sf), work_folder(spark)
+    more = F.when(F.col("event_id") % 30 == 0, '\nsecond, "line"').when(F.col("event_id") % 30 == 10, "\n\nend").otherwise("")
+    noted = log.withColumn("Note", F.concat("Role", more))
+    for i, names in enumerate((["LogID", "Note", "HTTP_Response"], ["Note", "LogID"], ["HTTP_Response", "LogID"])):
+        _one_file(noted.where(F.col("event_id") % 3 == i).select(*names), f"{folder}/results_{i + 1}.csv")
+    rows = files.read_csv_by_name(spark, folder, {"HTTP_Response": schemas.RAW_LOG["HTTP_Response"].dataType})
+    file = F.regexp_extract("_path", r"(results_\d)", 1).alias("file")
+    return rows.select("LogID", file, "Note", "HTTP_Response")
+
+
 @register(
     "s4_result_files",
     RUNS_SQL + """SELECT "LogID", run_id, predicted_anomaly, anomaly_score, NULL::VARCHAR AS "Endpoint", "Role" FROM run_a
@@ -252,6 +271,44 @@ def j1_bucketed(spark, sf):
     return base.select(*names, "is_unusual_hour")
 
 
+REPORT_SQL = BASE_SQL + """, t AS (
+  SELECT 'all' AS tab, '' AS k, count(*) AS count_usage, count(*) FILTER (predicted_anomaly = 1) AS count_anomalies FROM base
+  UNION ALL SELECT 'external', '', count(*) FILTER (predicted_anomaly = 1 AND NOT is_internal_ip), count(*) FILTER (predicted_anomaly = 1 AND is_unusual_hour) FROM base
+  UNION ALL SELECT 'role', "Role", count(*), count(*) FILTER (predicted_anomaly = 1) FROM base GROUP BY "Role"
+  UNION ALL SELECT 'network', CASE WHEN is_internal_ip THEN 'Internal' ELSE 'External' END, count(*), count(*) FILTER (predicted_anomaly = 1) FROM base GROUP BY 2
+  UNION ALL SELECT 'endpoint', "Endpoint", count(*), count(*) FILTER (predicted_anomaly = 1) FROM base GROUP BY "Endpoint"
+  UNION ALL SELECT 'unusual', "Timestamp"::DATE::VARCHAR, count(*), count(*) FILTER (predicted_anomaly = 1) FROM base WHERE is_unusual_hour GROUP BY 2)
+SELECT tab, k, count_usage::BIGINT AS count_usage, count_anomalies::BIGINT AS count_anomalies FROM t"""
+
+
+def _one_table(tables):
+    head = tables["headline"]
+    first = head.select(F.lit("all").alias("tab"), F.lit("").alias("k"), F.col("total_logs").alias("count_usage"), F.col("anomaly_count").alias("count_anomalies"))
+    second = head.select(F.lit("external").alias("tab"), F.lit("").alias("k"), F.col("external_ip_anomalies").alias("count_usage"), F.col("unusual_hour_anomalies").alias("count_anomalies"))
+    out = first.unionByName(second)
+    for tab, name in (("role", "by_role"), ("network", "by_network"), ("endpoint", "by_endpoint"), ("unusual", "daily_unusual_hours")):
+        rows = tables[name]
+        out = out.unionByName(rows.select(F.lit(tab).alias("tab"), F.col(rows.columns[0]).cast("string").alias("k"), "count_usage", "count_anomalies"))
+    return out
+
+
+@register("a1_a6_one_scan", REPORT_SQL)
+def a1_a6(spark, sf):
+    return _one_table(refresh.tables_of(refresh.daily_partials(report_base(spark, sf))))
+
+
+@register("a1_a6_refreshed_by_day", REPORT_SQL)
+def a1_a6_refreshed(spark, sf):
+    """Daily counts renewed after each of five runs, one of which comes again with other scores."""
+    log, folder = clog(spark, sf), work_folder(spark)
+    paths = [f"{folder}/{x}" for x in ("archive", "results", "partials")]
+    half = F.dayofyear("Timestamp") % 2
+    for i, rows, run in ((0, log.where(half == 0), "1"), (1, run_b(log), "a"), (0, log.where(half == 1), "2"), (1, run_a(log), "a"), (1, run_b(log), "b")):
+        files.write_run(rows.drop("run_id") if i else files.split_unlabelled(rows), paths[i], run)
+        refresh.refresh_report(spark, *paths)
+    return _one_table(refresh.refreshed_tables(spark, paths[2]))
+
+
 @register(
     "v6_scored_batch",
     DENSE_SQL + """SELECT "LogID", ("HTTP_Method" = 'DELETE' AND NOT ("Role" IN ('Doctor', 'Nurse')
