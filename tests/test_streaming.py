@@ -6,7 +6,7 @@ from accesswatch.operators.detect import failed_attempt_bursts
 from accesswatch.operators.rolling import add_request_rates
 from accesswatch.plans.scoring import archive_run, batch_with_history
 from accesswatch.sources.files import split_unlabelled
-from accesswatch.streaming import monitor, score
+from accesswatch.streaming import monitor, rates, score
 from tests.conftest import log_rows
 
 T0 = datetime(2024, 1, 1, 10, 0, 0)
@@ -116,3 +116,20 @@ def test_a_corrected_run_rescores_what_its_former_rows_decided(spark, tmp_path):
     near = rated(spark, tmp_path, "a", [("a2", 2, at(0))])
     assert {r.LogID for r in near.where("_own").collect()} == {"a2", "b1", "b2"}
     assert rated(spark, tmp_path, "none", [("x", 1, None)]) is None
+
+
+def test_rates_from_state_are_revised_and_late_logs_refused(spark, tmp_path):
+    """A log that comes after a later one revises it; one behind the watermark is refused and counted."""
+    item = ("PUT", "/inventory/items/4000")
+    batches = [
+        [("b", 1, at(100), *item), ("n", None, at(0))], [("a", 1, at(0), *item), ("c", 1, at(700), *item), ("d", 1, at(701))],
+        [("e", 1, at(86400))], [("f", 1, at(86401))], [("late", 1, at(5)), ("g", 1, at(86402))],
+    ]
+    stream = rates.revised_rates(feed(spark, str(tmp_path / "in"), batches), "1 hour")
+    query = rates.run_rates(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.LogID, r.req_freq_5min) for r in written.where("LogID = 'b'").collect()) == [("b", 0), ("b", 1)]
+    found = {r.LogID: (r.req_freq_5min, r.inventory_change_rate) for r in rates.latest_rates(written).collect()}
+    assert found == {"a": (0, 0), "b": (1, 1), "c": (0, 1), "d": (1, 0), "e": (0, 0), "f": (1, 0), "g": (2, 0), "n": (0, 0)}
+    assert rates.refused(query) == 1
+    assert "memory" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass").lower()
