@@ -21,15 +21,17 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A slash that closes the tag, not one that ends a value without quotes.
+_CLOSED = re.compile(r"(?:\A|[\s\"'])/\Z")
 _UNFINISHED = re.compile(r"<[/!?a-zA-Z][^>]*\Z")
 _NAME = re.compile(r"[a-z]+|\d+")
 
 # Fixed names: elements whose content is no text, elements and names that set apart what is not the article.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-APART = {"head", "nav", "aside", "form", "footer", "header", "menu", "dialog", "button", "select", "svg", "math",
-         "object", "canvas", "audio", "video", "map", "datalist", "option", "label", "fieldset"}
+APART = {"head", "nav", "aside", "form", "footer", "header", "menu", "dialog", "button", "select", "svg",
+         "object", "canvas", "audio", "video", "map", "datalist", "option", "fieldset"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div",
          "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head",
          "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table",
@@ -40,6 +42,7 @@ NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "spon
          "comments", "commentlist", "disqus", "respond", "reply", "replies", "related", "recommended", "share", "sharing",
          "social", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "widget",
          "pagination", "pager", "search", "complementary", "contentinfo"}
+ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion"}
 MAIN = {"article", "main"}
 
 
@@ -88,8 +91,8 @@ def parts_of(page: str) -> list[Part]:
                 apart = any(a for _, a in stack)
                 if not any(n in MAIN for n, _ in stack):
                     main = -1
-        elif name not in VOID and not rest.endswith("/"):
-            own = _set_apart(name, rest, main >= 0)
+        elif name not in VOID and not _CLOSED.search(rest):
+            own = _set_apart(name, rest, main >= 0, any(n in ("p", "li", "td", "dd") for n, _ in stack))
             if name in MAIN and not own and apart:
                 # What was to end before the article was never closed.
                 stack = [(n, False) for n, _ in stack]
@@ -102,14 +105,24 @@ def parts_of(page: str) -> list[Part]:
     return out
 
 
-def _set_apart(name: str, attributes: str, in_main: bool) -> bool:
-    if name in APART and not (name == "header" and in_main):
-        return True
+def _set_apart(name: str, attributes: str, in_main: bool, in_text: bool) -> bool:
+    """Whether an element is no part of the article by its name or its class, id and role.
+
+    Inside an article only a whole class name, id or role counts, or a class that begins like an advert's, since parts of
+    it have names of their own; and a button in a sentence is a word.
+    """
+    if name in APART:
+        return not (in_main and (name == "header" or (name == "button" and in_text)))
     if name in ("html", "body") or "=" not in attributes:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if not NAMES.isdisjoint(_NAME.findall(value)) or (not in_main and "header" in _NAME.findall(value)):
+        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if kind not in ("class", "id", "role"):
+            continue
+        words = value.split() if in_main else _NAME.findall(value)
+        if in_main and kind == "class":
+            words += [w for w in (x.split("-")[0].split("_")[0] for x in words) if w in ADVERTS]
+        if not NAMES.isdisjoint(words) or (not in_main and "header" in words):
             return True
     return False
 
@@ -184,8 +197,14 @@ def main_text(page: str, weights: Weights) -> str:
     return "\n".join(b for b in joined if b)
 
 
-def fit_weights(pages: DataFrame, sample: int = 2000, page_id: str = "page_id", page: str = "html") -> Weights:
-    """Weights from the ``sample`` pages of least hashed id: an article element labels its words and tags as content."""
+def fit_weights(
+    pages: DataFrame, sample: int = 2000, page_id: str = "page_id", page: str = "html", most_tags: int = 2000
+) -> Weights:
+    """Weights from the ``sample`` pages of least hashed id: an article element labels its words and tags as content.
+
+    Of the tags of the sample the ``most_tags`` commonest, by inside and outside, have weights of their own; all others, which a
+    page may make up, have that of unknown ones.
+    """
     rows = pages.select(F.col(page_id).cast("string").alias("id"), text_or_empty(page).alias("page"))
     taken = rows.select("id", F.xxhash64("id").alias("h")).where("id IS NOT NULL").orderBy("h").limit(sample)
     schema = "tag string, inside boolean, n bigint"
@@ -202,7 +221,7 @@ def fit_weights(pages: DataFrame, sample: int = 2000, page_id: str = "page_id",
 
     # ``sample`` ids: small enough to send to every task.
     counted = rows.join(F.broadcast(taken.select("id").distinct()), "id").select("page").mapInArrow(count, schema)
-    met = counted.groupBy("tag", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag", "inside").limit(2000)
+    met = counted.groupBy("tag", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag", "inside").limit(most_tags)
     return weights_of(Counter({(r.tag, r.inside): r.n for r in met.collect()}))
 
 
@@ -210,8 +229,8 @@ def extract(pages: DataFrame, weights: Weights, keep: list[str], page: str = "ht
     """Columns ``keep`` with ``text``: the article's blocks, joined by a newline.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by their
-    element or by words of their class, id or role and score nothing. All else scores by ``weights``:
-    words above zero, tags below. The best contiguous run is the content. Null and empty pages give ''.
+    element or by words of their class, id or role, inside an article by whole class names, ids and roles, and score nothing. All
+    else scores by ``weights``: words above zero, tags below. The best contiguous run is the content. Null and empty pages give ''.
     """
     rows = pages.select(F.struct(*keep).alias("row"), text_or_empty(page).alias("page"))
 

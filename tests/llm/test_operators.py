@@ -600,6 +600,43 @@ def test_trie_against_brute_force():
 # --- html ----------------------------------------------------------------------------
 
 
+SENTENCE = "Words of the article follow each other here and there, long enough to be its text."
+
+
+@pytest.mark.parametrize("part, text", [
+    ("<section id='search-algorithms'><p>Found by search.</p></section>", "Found by search."),
+    ("<h2 id='related-work'>Related work</h2>", "Related work"),
+    ("<p data-id='share' title='x class=ad'>Shared twice.</p>", "Shared twice."),
+    ("<p>Press <button>Start</button>, tick <label>this</label> and see <math>x</math>.</p>", "Press Start, tick this and see x."),
+    ("<div class=x/><p>After it.</p></div>", "After it."),
+    ("<div class='comment-free text'>Kept.</div>", "Kept."),
+    ("<div class='story ad'>Buy now</div><div role=search>Find</div><button>Go</button><form><label>Name</label></form>", ""),
+])
+def test_parts_of_an_article(part, text):
+    """Names that only hold a listed word are text in an article; whole class names and roles are not."""
+    page = f"<body><nav>menu menu</nav><article><p>{SENTENCE}</p>{part}<p>{SENTENCE}</p></article><div id=comments-list>no no</div></body>"
+    want = "\n".join(x for x in (SENTENCE, text, SENTENCE) if x)
+    assert html_text.main_text(page, html_text.Weights()) == want
+
+
+def test_pages_without_an_article_element(spark):
+    """The run alone decides: dense paragraphs between lists of links."""
+    r, rows, want = random.Random(3), [], {}
+    links = "".join(f"<div><span><a href='/{i}'>x{i}</a></span></div>" for i in range(12))
+    for i in range(30):
+        paragraphs = [" ".join(r.choices(WORDS, k=r.randint(30, 60))) for _ in range(r.randint(2, 5))]
+        body = "".join(f"<p>{p[:20]}<b>{p[20:30]}</b>{p[30:]}</p>" for p in paragraphs)
+        rows.append((i, f"<html><body><div class=sidebar>{'old news ' * 40}</div>{links}<div>{body}</div>{links}</body></html>"))
+        want[i] = "\n".join(paragraphs)
+    labelled = [(100 + i, f"<body>{links}<article><p>{prose(50, i)}</p></article>{links}</body>") for i in range(5)]
+    pages = spark.createDataFrame(rows + labelled, "page_id int, html string")
+    weights = html_text.fit_weights(pages)
+    found = {x.page_id: x.text for x in html_text.extract(pages, weights, ["page_id"]).collect()}
+    assert {i: found[i] for i in want} == want
+    empty = pages.where("false")
+    assert html_text.extract(empty, html_text.fit_weights(empty), ["page_id"]).count() == 0
+
+
 def test_pages(spark):
     body = "<article class='post'><header><h1>A &amp; B</h1></header><p>One  two\n three<br><p>Four <b>fi</b>ve &copy;&#33;</p>" \
         "<aside>no</aside><div class=\"ad-box\">buy</div><ul><li>x<li>y</ul><section id=comments>nice</section></article>"
