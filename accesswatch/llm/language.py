@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,7 +17,6 @@ from accesswatch.llm.common import slices, text_or_empty
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _SLOTS = 20
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Pieces:
@@ -145,7 +143,7 @@ class LanguageModel:
         self._learn(set().union(*words))
         out = []
         for text, own in zip(texts, words):
-            if not _LETTER.search(text):
+            if not any(map(str.isalpha, text)):
                 out.append(("und", 0.0))
                 continue
             total = self._rows[np.fromiter(map(self._known.__getitem__, own), np.int64, len(own))].sum(axis=0)

@@ -40,6 +40,11 @@ URL_RULES = (
 )
 
 
+def held(parts: int, part: int) -> Column:
+    """Whether a document is of a part that nothing is learnt from; false for a null id, which is not learnt from either."""
+    return F.coalesce(fold(parts) == part, F.lit(False)).alias("held_out")
+
+
 def fold(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
@@ -49,7 +54,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = fit_quality(docs, labels.where(fold(4) != 2))
-    score = docs.select("doc_id", (fold(4) == 2).alias("held_out"), quality_score(F.col("text"), model, spark).alias("score"))
+    score = docs.select("doc_id", held(4, 2), quality_score(F.col("text"), model, spark).alias("score"))
     return score.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
@@ -113,7 +118,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_language(docs.where(fold(3) != 1), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return identify(docs, model, ["doc_id"]).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model, ["doc_id"]).select("doc_id", held(3, 1), "lang_pred", "score")
 
 
 @register("op8_main_text")

@@ -16,7 +16,7 @@ import corpus_pipeline
 from accesswatch.llm import decontaminate, html_text, language, line_dedup, near_dups, packing, quality_classifier
 from accesswatch.llm.components import components
 from accesswatch.llm.line_frequency import judge_documents
-from accesswatch.llm.queries import QUERIES, SQL
+from accesswatch.llm.queries import QUERIES, SQL, held
 from accesswatch.llm.token_rollups import Rollup, counted, deleted, inserted, revised
 from accesswatch.llm.tokens import Encoder, token_count
 from accesswatch.llm.url_filter import Trie, filter_urls
@@ -738,6 +738,15 @@ def test_quality_of_odd_texts(spark, odd, none):
     assert quality_classifier.fit_quality(odd, labels.where("label = 1")) > 0.5
 
 
+def test_numbers_are_no_letters_and_null_ids_are_defined(spark):
+    pieces = language.Pieces(MULTI)
+    model = language.LanguageModel(["en"], MULTI, 12, np.full((len(pieces.pieces), 1), 1 / len(pieces.pieces)))
+    assert [x[0] for x in model.predict(["½ ² Ⅷ", "_ 12 ٣", "½ a", "ª"])] == ["und", "und", "en", "en"]
+    ids = spark.createDataFrame([(None,), (1,), (2,), (3,), (4,)], "doc_id bigint")
+    want = [False] + [zlib.crc32(str(i).encode()) % 3 == 1 for i in (1, 2, 3, 4)]
+    assert [r.held_out for r in ids.select(held(3, 1)).collect()] == want
+
+
 # --- all -----------------------------------------------------------------------------
 
 
