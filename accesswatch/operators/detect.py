@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accesswatch.functions.endpoint import request_parameters, resource_id, resource_path
@@ -212,12 +212,18 @@ def update_then_delete(df: DataFrame, rules: dict) -> DataFrame:
 
 
 def first_seen_addresses(df: DataFrame, rules: dict) -> DataFrame:
-    """First request of a user from an address, where it fits the signature.
+    """First request of a user from an address, where it fits the signature; of one instant that with the least id.
 
-    The earliest request per (user, address) is a minimum, so any number of
-    requests combine before the shuffle and nothing is joined back.
+    The earliest instant per (user, address) is a minimum of numbers, so any number of requests combine in hash tables
+    before the shuffle; requests meet it in an equality join, and only those of that instant are ordered by id. A
+    request without a time comes before all others.
     """
-    first = df.groupBy("UserID", "IP_Address").agg(
-        F.min(F.struct("Timestamp", "LogID", "Role", "HTTP_Method", "Endpoint")).alias("f")
-    )
-    return _signature(first.select("UserID", "IP_Address", "f.*"), rules, "unusual_ip_access")
+    keys = ["UserID", "IP_Address"]
+    rows = df.select(*keys, "Timestamp", "LogID", "Role", "HTTP_Method", "Endpoint")
+    rows = rows.withColumn("_t", F.coalesce(F.unix_micros("Timestamp"), F.lit(-(2**63))))
+    earliest = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("_t").alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    at_first = rows.join(earliest, [*same, F.col("_t") == F.col("_first")], "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("LogID", "Role", "HTTP_Method", "Endpoint"))
+    first = at_first.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_t")
+    return _signature(first, rules, "unusual_ip_access")

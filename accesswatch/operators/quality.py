@@ -48,18 +48,23 @@ def external_address_check(df: DataFrame, threshold: float = 0.3, label: str = L
     ).withColumn("high_correlation", F.col("anomalous_share_of_external") > F.lit(float(threshold)))
 
 
-def chain_consistency(df: DataFrame, chain: str | list[str]) -> DataFrame:
-    """Per chain: does it keep one address and one item or record id.
+def _one_value(c: Column) -> Column:
+    """Aggregate: whether all values that are there are the same, told by 128 bits of hash.
 
-    Smallest and largest value differ exactly when there are several, and
-    unlike a distinct count they combine before the shuffle.
+    Smallest and largest hash differ exactly when there are several values. Unlike a distinct count or the text itself,
+    numbers of fixed width combine in hash tables before the shuffle.
     """
+    hashes = [F.when(c.isNotNull(), F.xxhash64(F.lit(seed), c)) for seed in (0, 1)]
+    return F.coalesce((F.min(hashes[0]) == F.max(hashes[0])) & (F.min(hashes[1]) == F.max(hashes[1])), F.lit(True))
+
+
+def chain_consistency(df: DataFrame, chain: str | list[str]) -> DataFrame:
+    """Per chain: does it keep one address and one item or record id."""
     keys = [chain] if isinstance(chain, str) else chain
-    key = item_key(F.col("Endpoint"))
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_logs"),
-        F.coalesce(F.min("IP_Address") == F.max("IP_Address"), F.lit(True)).alias("same_ip"),
-        F.coalesce(F.min(key) == F.max(key), F.lit(True)).alias("same_id"),
+        _one_value(F.col("IP_Address")).alias("same_ip"),
+        _one_value(item_key(F.col("Endpoint"))).alias("same_id"),
     )
 
 

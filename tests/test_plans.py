@@ -85,3 +85,11 @@ def test_latest_row_of_null_keys(spark):
     rows = [(None, 1, "a"), (None, 2, "b"), ("x", 2, "c"), ("x", 2, "c"), ("x", None, "d"), ("y", None, "e")]
     last = report.keep_last(spark.createDataFrame(rows, "LogID string, arrival long, v string"), order="arrival")
     assert sorted(map(tuple, last.collect()), key=str) == [("x", 2, "c"), ("y", None, "e"), (None, 2, "b")]
+
+
+@pytest.mark.parametrize("name", ["w3_keep_last_run", "w3_latest_event_per_user", "j1_f10_report_base", "a11_chain_consistency", "d22_first_seen_addresses"])
+def test_groups_are_hashed_not_sorted(spark, sf_small, name):
+    found = [n for n in QUERIES if n.startswith(name[:4]) and n.startswith(name[:8])]
+    for n in found:
+        assert "SortAggregate" not in plan(QUERIES[n](spark, sf_small)), n
+    assert found
