@@ -27,7 +27,8 @@ class Signature:
     differs with a probability of about 1 - s.
 
     The shape of production (12 chunks of 6, one error) finds all pairs that differ in up to 23 of 72 symbols; at
-    s = 0.85 all but 2e-8 of the pairs share a key. Whatever its distance, a pair that shares one is confirmed.
+    s = 0.85 all but 2e-8 of the pairs share a key. Whatever its distance, a pair that shares one is confirmed, unless
+    ``too_far`` proves that it is no link.
     """
 
     def __init__(self, chunks: int = 12, width: int = 6, errors: int = 1):
@@ -130,24 +131,45 @@ def _set_id(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+#: Bytes of a parity sketch.
+_PARITY = 32
+
+
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each value of a shingle's low bits: whether the set has an odd number of shingles with it."""
+    size = 8 * _PARITY
+    return np.packbits((np.bincount((s % _U(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def too_far(a: np.ndarray, b: np.ndarray, n: np.ndarray, similar_pct: int) -> np.ndarray:
+    """Pairs of sets that can't be linked, by their sketches as 64-bit words and the sum ``n`` of their sizes.
+
+    Shingles of both sets cancel out, so each bit that differs stands for at least one shingle of one set alone. Linked sets
+    have at most (100 - pct) * n / (100 + pct) of those: no link is lost.
+    """
+    alone = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return (100 + similar_pct) * alone > (100 - similar_pct) * n
+
+
 def _signed(docs: DataFrame, shape: Signature, width: int, doc_id: str, text: str) -> DataFrame:
-    """(doc, n_shingles, set_id, signature) of every row; the last two null without shingles."""
+    """(doc, n_shingles, set_id, signature, parity) of every row; the last three null without shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            n, ids, signatures = [], [], []
+            n, ids, signatures, odd = [], [], [], []
             for t in batch["text"].to_pylist():
                 s = shingles(t, width)
                 n.append(len(s))
                 ids.append(_set_id(s) if len(s) else None)
                 signatures.append(shape.of(s) if len(s) else None)
+                odd.append(parity(s) if len(s) else None)
+            binary = [pa.array(x, pa.binary()) for x in (ids, signatures, odd)]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(signatures, pa.binary())],
-                names=["doc", "n_shingles", "set_id", "signature"],
+                [batch["doc"], pa.array(n, pa.int64()), *binary], names=["doc", "n_shingles", "set_id", "signature", "parity"]
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(sign, "doc bigint, n_shingles bigint, set_id binary, signature binary")
+    return rows.mapInArrow(sign, "doc bigint, n_shingles bigint, set_id binary, signature binary, parity binary")
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -236,7 +258,7 @@ def _candidates(shape: Signature, similar_pct: int, within: bool):
     """For each document of a group, its later partners: pairs whose first shared key is the group's key.
 
     Rows are sorted by group; ``within`` compares all rows of a group, else only rows of different blocks. Rows of one
-    component are not compared.
+    component are not compared, and pairs whose sketches (if given) are ``too_far`` apart are left out.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +267,7 @@ def _candidates(shape: Signature, similar_pct: int, within: bool):
             doc, n, number = (batch[c].to_numpy() for c in ("doc", "n_shingles", "number"))
             block, label = batch["block"].to_numpy(), batch["label"].to_numpy()
             signature = _matrix(batch["signature"], shape.size)
+            odd = _matrix(batch["parity"], _PARITY).view(_U) if "parity" in batch.schema.names else None
             starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
             sizes = np.diff(np.append(starts, len(group)))
             left = np.repeat(starts + sizes, sizes) - np.arange(len(group))
@@ -258,6 +281,11 @@ def _candidates(shape: Signature, similar_pct: int, within: bool):
                 a, b = a[ok], b[ok]
                 for i in range(0, len(a), 20_000):
                     x, y = a[i : i + 20_000], b[i : i + 20_000]
+                    if odd is not None:
+                        near = ~too_far(odd[x], odd[y], n[x] + n[y], similar_pct)
+                        x, y = x[near], y[near]
+                    if not len(x):
+                        continue
                     _, shared = shape.first_shared(signature[x], signature[y])
                     ok = shared == number[x]
                     if ok.any():
@@ -356,8 +384,8 @@ def near_duplicates(
     Rows of one set are a class, represented by its smallest document, and only classes go on. A class has a
     signature (see ``Signature``) and its keys are sorted by ranges of (key, document), so that a key with any share of the rows
     spreads over tasks. Neighbours under a key form blocks of ``most``. First all pairs inside blocks are compared by
-    signature, each only under the first key it shares, and the pairs left are confirmed on whole sets, which are sent
-    once per document and block; links that join nothing new in their block are not needed. Then keys of more than one
+    signature, each only under the first key it shares; pairs whose sketches prove them apart (see ``too_far``) go, and
+    the pairs left are confirmed on whole sets, which are sent once per document and block; links that join nothing new in their block are not needed. Then keys of more than one
     block are done block against block, only between classes not yet joined. No pairs are shuffled and nothing is capped.
 
     Without words (null, empty or blank text) a document has an empty set and is linked with nothing. A null document id
@@ -368,11 +396,11 @@ def near_duplicates(
     rows = cut(_signed(docs, shape, width, doc_id, text))
     known = cut(
         rows.where("doc IS NOT NULL AND set_id IS NOT NULL").groupBy("doc")
-        .agg(F.min(F.struct("set_id", "signature", "n_shingles")).alias("s")).select("doc", "s.*")
+        .agg(F.min(F.struct("set_id", "signature", "n_shingles", "parity")).alias("s")).select("doc", "s.*")
     )
     classes = cut(
         known.groupBy("set_id").agg(
-            F.min("doc").alias("doc"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")
+            F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("signature", "n_shingles", "parity")]
         )
     )
     keys = classes.select("doc", "signature").mapInArrow(_key_rows(shape), "key bigint, doc bigint")
@@ -381,7 +409,7 @@ def near_duplicates(
         keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_buckets(most), "key bigint, doc bigint, block bigint")
     )
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), text_or_empty(text).alias("text"))
-    signs = classes.select("doc", "signature", "n_shingles", "set_id")
+    signs = classes.select("doc", "signature", "n_shingles", "parity", "set_id")
 
     def with_signature(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
         rows = rows.join(signs.drop("set_id"), "doc")
@@ -389,10 +417,10 @@ def near_duplicates(
             rows = rows.join(labels.select("doc", F.col("component").alias("label")), "doc", "left")
         label = F.coalesce("label", "doc") if labels is not None else F.col("doc")
         number = F.shiftright("key", 8 * (shape.width - shape.errors)).alias("number")
-        return rows.select("key", "doc", "block", number, label.alias("label"), "signature", "n_shingles")
+        return rows.select("key", "doc", "block", number, label.alias("label"), "signature", "n_shingles", "parity")
 
     def candidates(grouped: DataFrame, within: bool) -> DataFrame:
-        rows = grouped.select("group", "doc", "number", "block", "label", "signature", "n_shingles")
+        rows = grouped.select("group", "doc", "number", "block", "label", "signature", "n_shingles", "parity")
         compare = _candidates(shape, similar_pct, within)
         return cut(rows.repartition("group").sortWithinPartitions("group", "doc").mapInArrow(compare, _PAIRS))
 

@@ -297,6 +297,35 @@ def test_pairs_that_share_a_key_are_confirmed_at_any_distance():
     assert found == {"group": ["g", "g"], "doc": [1, 2], "partners": [[2], []]}
 
 
+def test_sketches_leave_out_no_link():
+    draw, far = np.random.default_rng(8), 0
+    for i in range(600):
+        n = int(draw.integers(1, 40)) if i % 2 else int(draw.integers(100, 3000))
+        x = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+        gone = int(draw.integers(0, max(1, n // 5) + 1))
+        y = np.unique(np.concatenate((x[gone:], draw.integers(0, 2**63, int(draw.integers(0, gone + 1))).astype(np.uint64))))
+        a, b = (np.frombuffer(near_dups.parity(s), np.uint64)[None] for s in (x, y))
+        both = len(np.intersect1d(x, y))
+        linked = 100 * both >= 85 * (len(x) + len(y) - both)
+        out = bool(near_dups.too_far(a, b, np.array([len(x) + len(y)]), 85)[0])
+        assert not (linked and out)
+        far += out
+    assert far > 100
+
+
+def test_texts_with_a_passage_in_common_are_not_sent_to_be_confirmed():
+    """Two thirds of each text are one passage; all have one signature, so that all share a key. Two are linked."""
+    shape, passage = near_dups.Signature(), prose(100, 40)
+    texts = [passage + " " + prose(50, 50 + i) for i in range(40)]
+    texts.append(texts[7] + " end")
+    sets = [near_dups.shingles(t, 5) for t in texts]
+    n = len(texts)
+    columns = {"group": ["g"] * n, "doc": range(n), "n_shingles": [len(s) for s in sets], "number": [0] * n, "block": [0] * n}
+    columns |= {"label": range(n), "signature": [bytes(shape.size)] * n, "parity": [near_dups.parity(s) for s in sets]}
+    found = pa.Table.from_batches(near_dups._candidates(shape, 85, True)(iter([pa.RecordBatch.from_pydict(columns)]))).to_pydict()
+    assert found == {"group": ["g", "g"], "doc": [7, 40], "partners": [[40], []]}
+
+
 def test_signatures_estimate_similarity():
     shape, differ = near_dups.Signature(), []
     for i in range(200):
