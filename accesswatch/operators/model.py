@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from accesswatch.operators import forest
 from accesswatch.operators.encoders import Scaler, fit_scaler
 from accesswatch.operators.metrics import binary_metrics, roc_auc
 from accesswatch.operators.quality import ratio
@@ -23,6 +24,8 @@ CLASS_WEIGHTS = {0: 1.0, 1: 5.0}
 TREES = 200
 DIAGNOSTIC_TREES = 100
 SEED = 42
+#: Up to so many rows are fitted one by one; of more, equal ones are counted first and fitted by their number.
+ROWS_ONE_BY_ONE = 200_000
 
 
 # --- splitting -----------------------------------------------------------------------
@@ -101,7 +104,14 @@ def stratified_split(
 
 def balanced_weights(df: DataFrame, label: str = LABEL) -> dict[float, float]:
     """n / (classes * n of the class), of every class."""
-    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    return _balanced(_class_counts(df, label))
+
+
+def _class_counts(df: DataFrame, label: str) -> dict[float, int]:
+    return {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+
+
+def _balanced(counts: dict[float, int]) -> dict[float, float]:
     n = sum(counts.values())
     return {c: n / (len(counts) * k) for c, k in counts.items()}
 
@@ -122,17 +132,24 @@ def _scaling_stage(scaler: Scaler) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *{', ' + columns if columns else ''} FROM __THIS__")
 
 
-def _fit(classifier, train: DataFrame, features, label: str, weights: dict[int, float], scaled) -> PipelineModel:
+def _fit(classifier, train: DataFrame, features, label: str, weights: dict[int, float], scaled, n_rows: int) -> PipelineModel:
     names = [c for c in scaled if c in features]
     scaler = fit_scaler(train, names) if names else Scaler({}, {})
     inputs = [f"_scaled_{c}" if c in scaler.mean else c for c in features]
-    rows = model_input(train, features, label).withColumn("_weight", _weight(weights, label))
     stages = [
         _scaling_stage(scaler),
         VectorAssembler(inputCols=inputs, outputCol="_features"),
         classifier.setFeaturesCol("_features").setLabelCol(label).setWeightCol("_weight"),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    rows, weight = model_input(train, features, label), _weight(weights, label)
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")) if n_rows > ROWS_ONE_BY_ONE else None
+    if counted is not None and isinstance(classifier, LogisticRegression):
+        return Pipeline(stages=stages).fit(counted.withColumn("_weight", weight * F.col("_n")))
+    if counted is not None:
+        fitted = forest.fit(classifier, stages[0].transform(counted), inputs, label, "_n", weights)
+        if fitted is not None:
+            return PipelineModel([*stages[:2], fitted])
+    return Pipeline(stages=stages).fit(rows.withColumn("_weight", weight))
 
 
 def fit_logistic(
@@ -141,11 +158,11 @@ def fit_logistic(
 ) -> PipelineModel:
     """L2 logistic regression; ``c`` weighs the summed loss against the penalty."""
     weights = CLASS_WEIGHTS if weights is None else weights
-    total = train.agg(F.sum(_weight(weights, label))).first()[0]
+    total, n = train.agg(F.sum(_weight(weights, label)), F.count(F.lit(1))).first()
     model = LogisticRegression(
         regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter
     )
-    return _fit(model, train, features, label, weights, scaled)
+    return _fit(model, train, features, label, weights, scaled, n)
 
 
 def fit_forest(
@@ -153,11 +170,12 @@ def fit_forest(
     seed: int = SEED, scaled=SCALED_FEATURES,
 ) -> PipelineModel:
     """Random forest with balanced classes and square-root feature subsets."""
+    counts = _class_counts(train, label)
     checkpoint_dir(train.sparkSession)  # node assignments of deep trees are checkpointed there
     model = RandomForestClassifier(
         numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True
     )
-    return _fit(model, train, features, label, balanced_weights(train, label), scaled)
+    return _fit(model, train, features, label, _balanced(counts), scaled, sum(counts.values()))
 
 
 # --- scoring -------------------------------------------------------------------------
