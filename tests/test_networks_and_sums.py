@@ -40,6 +40,29 @@ def test_networks_of_both_families(spark):
     assert empty.count() == len(ips) and empty.where("label IS NOT NULL").count() == 0
 
 
+def rows_made(node, of: str) -> int:
+    """Rows that nodes of this name have put out, in the plan that ran."""
+    name = node.nodeName()
+    below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+    children = node.children()
+    below += [children.apply(i) for i in range(children.size())]
+    own = node.metrics().get("numOutputRows").get().value() if name == of else 0
+    return own + sum(rows_made(x, of) for x in below)
+
+
+def test_addresses_are_not_repeated_for_each_length(spark):
+    """Every length from 0 to 32 in the table: 4000 addresses of two blocks make 17 probes a block, not 33 each."""
+    r = random.Random(4)
+    ips = [f"10.{i % 2}.{r.randint(0, 255)}.{r.randint(0, 255)}" for i in range(4000)]
+    texts = [f"{ips[r.randrange(4000)]}/{bits}" for bits in range(33) for _ in range(8)]
+    networks = [(ipaddress.ip_network(t, strict=False), i) for i, t in enumerate(texts)]
+    logs = spark.createDataFrame(list(enumerate(ips)), "id int, IP_Address string")
+    found = longest_network(logs, spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "cidr string, label int"), ["label"])
+    assert {row.id: row.label for row in found.collect()} == {i: brute_network(ip, networks)[1] for i, ip in enumerate(ips)}
+    # Rows are parsed in a generator too: those of the logs twice, and the networks.
+    assert rows_made(found._jdf.queryExecution().executedPlan(), "Generate") < 4 * 4000
+
+
 def test_correlations_of_many_columns_with_nulls(spark):
     """200 columns in one pass, against the rows that have both values; far from zero, a constant, NaN, few rows."""
     r = np.random.default_rng(1)
