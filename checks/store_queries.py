@@ -199,13 +199,15 @@ _FITTED: dict[tuple, tuple] = {}
 
 def _deleting(spark, sf, c: float = 1.0):
     """Encoders, features of all logs and a logistic model, for a label that the features say: whether the request
-    deletes. Fitted once per session."""
+    deletes. Features are written once, models fitted once per session."""
     key = (spark.sparkContext.applicationId, sf, c)
-    if key not in _FITTED:
+    if key[:2] not in _FITTED:
         log = dense_log(spark, sf).withColumn("Anomalous", (F.col("HTTP_Method") == "DELETE").cast("int"))
-        encoders = _FITTED[key[:2]][0] if key[:2] in _FITTED else fit_encoders(log)
-        rows = _FITTED[key[:2]][1] if key[:2] in _FITTED else build_features(log, default_rules(), encoders, keep_label=True)
-        _FITTED[key[:2]] = (encoders, rows)
+        encoders, folder = fit_encoders(log), f"{work_folder(spark)}/features"
+        build_features(log, default_rules(), encoders, keep_label=True).write.parquet(folder)
+        _FITTED[key[:2]] = (encoders, spark.read.parquet(folder))
+    if key not in _FITTED:
+        encoders, rows = _FITTED[key[:2]]
         _FITTED[key] = (encoders, rows, M.fit_logistic(rows, c=c))
     return _FITTED[key]
 

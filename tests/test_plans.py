@@ -93,3 +93,19 @@ def test_groups_are_hashed_not_sorted(spark, sf_small, name):
     for n in found:
         assert "SortAggregate" not in plan(QUERIES[n](spark, sf_small)), n
     assert found
+
+
+def test_features_of_two_models_are_made_once(spark, tmp_path):
+    """Fits and predictions read written features; the rates' shuffles ran once, to write them."""
+    from checks.store_queries import _deleting
+
+    events = spark.range(400).selectExpr(
+        "id AS event_id", "timestamp_micros(1704067200000000 + id * 7000000) AS ts", "id % 9 AS user_id",
+        "element_at(array('error', 'view', 'click', 'purchase', 'signup'), cast(id % 5 + 1 AS int)) AS event_type",
+        "cast(id % 100 AS double) AS value", "concat('{\"k\": ', id % 90, '}') AS props",
+    )
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    _, rows, _ = _deleting(spark, str(tmp_path))
+    again = _deleting(spark, str(tmp_path), 0.1)[1]
+    assert again is rows and rows.count() == 400
+    assert "Exchange" not in plan(rows) and "FileScan parquet" in plan(rows)
