@@ -85,3 +85,11 @@ def test_split_points_by_weight():
     cuts = forest.split_points(values, np.ones(100), 9)
     assert len(cuts) == 9 and np.allclose(np.diff(cuts), 10)
     assert len(forest.split_points(values[:1], np.ones(1), 9)) == 0
+
+
+def test_rows_are_scored_once_to_be_evaluated(rows):
+    scored = M.predict(M.fit_logistic(rows, NAMES, scaled=()), rows)
+    found = M.evaluate(scored)
+    assert "UDF" in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.first().n == 4000 and found.first().auc > 0.8
